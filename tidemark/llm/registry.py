@@ -1,10 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat
+from . import chat, language, media, token_counts
 
 
 def queries() -> dict:
-    return {"op8_chat_formatting": chat.op8_chat_formatting}
+    return {
+        "op1_language_id": language.op1_language_id,
+        "op4_media_columns": media.op4_media_columns,
+        "op8_chat_formatting": chat.op8_chat_formatting,
+        "op9_token_counts": token_counts.op9_token_counts,
+    }
 
 
 def oracle_sql() -> dict:
