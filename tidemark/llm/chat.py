@@ -57,9 +57,9 @@ def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
             raise ValueError("a reply tree deeper than 2**40 or a cycle of parents")
     inner = jumps[0].select("tree", F.col("up").alias("id")).distinct()
     path = nodes.join(inner, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
-    for k in range(len(jumps) - 2, -1, -1):
-        more = path.join(jumps[k].withColumnRenamed("up", "far"), ["tree", "id"])
-        path = path.union(more.select("tree", "leaf", F.col("far").alias("id"), (F.col("up") + (1 << k)).alias("up")))
+    for k in range(len(jumps) - 2, -1, -1):  # each row stays and also jumps 2**k up: all distances once
+        both = F.when(F.col("far").isNull(), F.array(F.struct("id", "up"))).otherwise(F.array(F.struct("id", "up"), F.struct(F.col("far").alias("id"), (F.col("up") + (1 << k)).alias("up"))))
+        path = path.join(jumps[k].withColumnRenamed("up", "far"), ["tree", "id"], "left").select("tree", "leaf", F.explode(both).alias("x")).select("tree", "leaf", "x.*")
     turns = path.join(nodes, ["tree", "id"])
     piece = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID), escape(F.col("text")), F.lit(END))
     # up counts from the leaf: the largest comes first

@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, language, media, token_counts
+from . import bpe, chat, language, media, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.op1_language_id,
         "op4_media_columns": media.op4_media_columns,
+        "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_token_counts": token_counts.op9_token_counts,
     }
