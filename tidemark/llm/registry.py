@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, language, media, token_counts
+from . import bpe, chat, embeddings, language, media, mixing, token_counts
 
 
 def queries() -> dict:
@@ -8,10 +8,13 @@ def queries() -> dict:
         "op1_language_id": language.op1_language_id,
         "op4_media_columns": media.op4_media_columns,
         "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
+        "op7_mixing_sources": mixing.op7_mixing_sources,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
+        "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_chat_formatting": chat.SQL}
+    return {"op8_chat_formatting": chat.SQL, "op10_embedding_near_dedup": embeddings.SQL}
