@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embeddings, language, media, mixing, token_counts
+from . import bpe, chat, embeddings, language, media, mixing, secrets, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.op1_language_id,
         "op4_media_columns": media.op4_media_columns,
+        "op5_secret_scans": secrets.op5_secret_scans,
         "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
         "op7_mixing_sources": mixing.op7_mixing_sources,
         "op8_chat_formatting": chat.op8_chat_formatting,
