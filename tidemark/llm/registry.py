@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embeddings, language, media, mixing, secrets, substrings, token_counts
+from . import bpe, chat, embeddings, jaccard, language, media, mixing, secrets, substrings, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.op1_language_id,
+        "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
         "op3_substring_dedup": substrings.op3_substring_dedup,
         "op4_media_columns": media.op4_media_columns,
         "op5_secret_scans": secrets.op5_secret_scans,
