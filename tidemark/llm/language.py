@@ -201,6 +201,17 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFram
     return documents.select(key, "text").mapInArrow(run, "id long, lang_pred string, score double")
 
 
+def keep_known(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``documents`` whose text has a language, all columns unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            langs, _ = identify(model, [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+            yield batch.filter(pa.array([x != UND for x in langs]))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
