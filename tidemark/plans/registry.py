@@ -1,9 +1,13 @@
 """All event-time queries with their SQL, by name."""
 
+from tidemark.plans import stateless, windowed
+
+PARTS = (stateless, windowed)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for part in PARTS for k, v in part.SQL.items()}
