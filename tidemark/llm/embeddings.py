@@ -5,8 +5,9 @@ Each class is hashed into several tables by the signs of its products with seede
 Bits per table grow with the logarithm of the number of classes, and tables are as many as keep the chance
 of missing a pair at the threshold below ``MISS``.  In a bucket all pairs are verified by cosine in double
 precision as block products; buckets of more than ``BLOCK`` classes are cut into blocks and all pairs of
-blocks are verified, each as its own group, so no bucket is capped and none meets in one task.  A pair is
-reported by the first table in which it meets.
+blocks are verified, each as its own group, so no bucket is capped and none meets in one task.  A pair counts
+in the first table in which it meets.  A group of pairs gives each class's number of linked vectors and a
+spanning forest of its links, so results grow with vectors and not with the square of a group.
 
 Null vectors, vectors with null or non-finite components and zero vectors link with nothing.  Vectors of
 different lengths never link.  Repeated rows (equal id and vector) count as vectors.  Empty tables give no
@@ -50,14 +51,30 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-HASHED = pa.schema([("width", pa.int32()), ("t", pa.int32()), ("bucket", pa.int32()), ("rep", pa.int64()), ("v", pa.list_(pa.float64())), ("sigs", pa.binary())])
-HASHED_SQL = "width int, t int, bucket int, rep long, v array<double>, sigs binary"
+HASHED = pa.schema([("width", pa.int32()), ("t", pa.int32()), ("bucket", pa.int32()), ("rep", pa.int64()), ("v", pa.list_(pa.float32())), ("n", pa.int64()), ("sigs", pa.binary())])
+FOUND = pa.schema([("rep", pa.int64()), ("peer", pa.int64()), ("n_linked", pa.int64())])
 
 
-def near_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b (a < b): the pairs of ``classes`` (rep, v: valid, distinct) that meet and reach the threshold."""
-    n = classes.count()
-    bits, tables = tables_for(n, threshold)
+def _forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest index reachable from each of n by the links (x, y)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """rep, peer, n_linked of the pairs of ``classes`` (rep, v: valid, distinct; n: vectors) that meet and reach the
+    threshold: rows of a rep add up to the vectors linked with it; peers join the components together."""
+    bits, tables = tables_for(classes.count(), threshold)
+    kind = dict(classes.dtypes)["v"]
+    schema = HASHED.set(4, pa.field("v", pa.list_(pa.float32() if kind == "array<float>" else pa.float64())))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,48 +85,54 @@ def near_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     cut = part.slice(at, 2048)
                     sigs = signatures(_matrix(cut.column(1), int(w)), bits, tables).astype(np.int32)
                     for t in range(tables):
-                        yield batch_of(HASHED, width=[int(w)] * cut.num_rows, t=[t] * cut.num_rows, bucket=sigs[:, t], rep=cut.column(0), v=cut.column(1), sigs=[s.tobytes() for s in sigs])
+                        yield batch_of(schema, width=[int(w)] * cut.num_rows, t=[t] * cut.num_rows, bucket=sigs[:, t], rep=cut.column(0), v=cut.column(1), n=cut.column(2), sigs=[s.tobytes() for s in sigs])
 
-    rows = classes.select("rep", "v").mapInArrow(hashed, HASHED_SQL)
+    rows = classes.select("rep", "v", "n").mapInArrow(hashed, f"width int, t int, bucket int, rep long, v {kind}, n long, sigs binary")
     bucket = ["width", "t", "bucket"]
     blocks = written(rows.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = rows.join(blocks, bucket).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "v", "sigs")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    dealt = dealt.select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "v", "n", "sigs")
 
     def verified(group: pa.Table) -> pa.Table:
         i, j, t, w = (group.column(c)[0].as_py() for c in ("i", "j", "t", "width"))
-        own, rep = group.column("own").to_numpy(), group.column("rep").to_numpy()
+        own, rep, n = (group.column(c).to_numpy() for c in ("own", "rep", "n"))
         v = _matrix(group.column("v").combine_chunks(), w)
         sigs = np.frombuffer(b"".join(group.column("sigs").to_pylist()), np.int32).reshape(len(rep), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
+        xs, ys = [], []
         for at in range(0, len(left), 512):
             x, y = np.nonzero(v[left[at : at + 512]] @ v[right].T >= threshold)
             x, y = left[at + x], right[y]
-            keep = (rep[x] != rep[y]) if i != j else (rep[x] < rep[y])
-            x, y = x[keep], y[keep]
-            first = ~(sigs[x, :t] == sigs[y, :t]).any(1)
-            found.append(np.stack([np.minimum(rep[x[first]], rep[y[first]]), np.maximum(rep[x[first]], rep[y[first]])], 1))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=schema)
-
-    return dealt.groupBy(*bucket, "i", "j").applyInArrow(verified, "a long, b long")
+            if i == j:
+                x, y = x[x < y], y[x < y]
+            first = np.ones(len(x), bool)
+            for k in range(t):
+                first &= sigs[x, k] != sigs[y, k]
+            xs.append(x[first])
+            ys.append(y[first])
+        x, y = np.concatenate(xs or [own[:0]]), np.concatenate(ys or [own[:0]])
+        linked = np.bincount(x, weights=n[y], minlength=len(rep)) + np.bincount(y, weights=n[x], minlength=len(rep))
+        peer = rep[_forest(x, y, len(rep))]
+        keep = linked > 0
+        return pa.table([pa.array(rep[keep]), pa.array(peer[keep]), pa.array(linked[keep].astype(np.int64))], schema=FOUND)
+
+    pairs_of_blocks = [*bucket, "i", "j"]
+    return dealt.repartition(*pairs_of_blocks).groupBy(*pairs_of_blocks).applyInArrow(verified, "rep long, peer long, n_linked long")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """key, n_links, component_id, kept for every row of ``vectors``."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if dict(rows.dtypes)["v"] not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     valid = F.coalesce(~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(valid & F.col("id").isNotNull())
     classes = written(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    pairs = written(near_pairs(classes, threshold))
-    component = connected_components(pairs)
-    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    sizes = classes.select(F.col("rep").alias("other"), F.col("n").alias("n_other"))
-    linked = ends.join(sizes, "other").groupBy("rep").agg(F.sum("n_other").alias("n_linked"))
+    found = written(near_links(classes, threshold))
+    component = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
+    linked = found.groupBy("rep").agg(F.sum("n_linked").alias("n_linked"))
     known = classes.join(linked, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left").select(
         "v", (F.col("n") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
