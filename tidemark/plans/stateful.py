@@ -88,7 +88,7 @@ def stateful_total(spark, d):
 def fold_daily(spark, d):
     """An ordered fold per user and day: an exponential average of values."""
     rows = events(spark, d).withColumn("day", F.floor(F.col("ts") / hours(24)).cast("long"))
-    smooth = state.fold(rows, ["user_id", "day"], "event_id", F.col("value"), F.lit(0.0), lambda acc, x: acc * 0.7 + x * 0.3)
+    smooth = state.fold(rows, ["user_id", "day"], "event_id", F.col("value"), F.lit(0.0), lambda acc, x: acc * (2.0 / 3.0) + x / 3.0)
     return smooth.select("user_id", "day", F.round("value", 4).alias("value"))
 
 
@@ -137,6 +137,6 @@ i AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY event_id) AS streak
 SELECT user_id, event_type, n, last_id FROM g QUALIFY streak < max(streak) OVER (PARTITION BY user_id)""",
     "stateful_total": f"""WITH {EVENTS}, r AS (SELECT event_id, sum(value) OVER (ORDER BY event_id) AS s, sum(value) OVER (ORDER BY event_id) - value AS p FROM ev) SELECT event_id, floor(s / 10000)::BIGINT AS crossed FROM r WHERE floor(s / 10000) > floor(p / 10000)""",
     "fold_daily": f"""WITH {EVENTS}, r AS (SELECT user_id, ts // 86400000 AS day, value, row_number() OVER (PARTITION BY user_id, ts // 86400000 ORDER BY event_id DESC) AS back FROM ev)
-SELECT user_id, day, round(sum(value * 0.3 * power(0.7, back - 1)), 4) AS value FROM r GROUP BY ALL""",
+SELECT user_id, day, round(sum(value / 3.0::DOUBLE * power(2.0::DOUBLE / 3.0::DOUBLE, back - 1)), 4) AS value FROM r GROUP BY ALL""",
     "ttl_state": f"WITH {EVENTS} SELECT user_id, event_id, value FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND ts + 86400000 >= 1706600000000",
 }
