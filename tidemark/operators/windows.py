@@ -40,11 +40,11 @@ def assign(df: DataFrame, ts: str, spec: TimeWindow) -> DataFrame:
     Rows at or after 0 get no window that starts before 0.
     """
     at = F.col(ts)
-    newest = F.floor(at / spec.step) * spec.step
+    newest = at - F.pmod(at, F.lit(spec.step))
     if spec.size == spec.step:
         rows = df.withColumn("win_start", newest.cast("long"))
     else:
-        oldest = (F.floor((at - spec.size) / spec.step) + 1) * spec.step
+        oldest = at - spec.size - F.pmod(at - spec.size, F.lit(spec.step)) + spec.step
         oldest = F.when(at >= 0, F.greatest(oldest, F.lit(0))).otherwise(oldest)
         starts = F.when(oldest <= newest, F.sequence(oldest.cast("long"), newest.cast("long"), F.lit(spec.step).cast("long")))
         rows = df.withColumn("win_start", F.explode(starts))

@@ -1,8 +1,8 @@
 """All event-time queries with their SQL, by name."""
 
-from tidemark.plans import joined, stateful, stateless, windowed
+from tidemark.plans import joined, pipelines, stateful, stateless, windowed
 
-PARTS = (stateless, windowed, joined, stateful)
+PARTS = (pipelines, stateless, windowed, joined, stateful)
 
 
 def queries() -> dict:
