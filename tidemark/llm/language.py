@@ -118,8 +118,10 @@ class Parser:
         for name, text in model:
             t = automaton([0 if c == " " else code.get(c, 1) for c in text], self.letters)
             start = t[0]
-            # no transition: the phrase ends and the next begins at this character
-            fresh = np.where(start >= 0, start, 0) + base
+            # no transition: the phrase ends and the next begins at this character; one that the sample
+            # lacks is a phrase of its own, in a last state without transitions
+            t = np.concatenate([t, np.full((1, self.letters), -1, np.int32)])
+            fresh = np.where(start >= 0, start, len(t) - 1) + base
             tables.append(np.where(t >= 0, t + base, -1 - fresh[None, :]).astype(np.int32))
             self.names.append(name)
             self.bits.append(math.log2(len(text)))

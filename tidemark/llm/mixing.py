@@ -122,9 +122,10 @@ def mix(documents: DataFrame, key: str = "doc_id", source: str = "source", text:
     extra = lengths.groupBy("at").applyInPandas(fitted, "at int, size long, extra long")
     before = Window.partitionBy("at", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     prior = ranges.select("at", "size", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("prior"))
-    quota = prior.join(extra, ["at", "size"]).select("at", "size", "range", (F.col("extra") - F.col("prior")).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("at", "size", "range").orderBy("order", "key"))
-    picked = dealt.withColumn("rank", rank).join(quota, ["at", "size", "range"])
+    place = ["at", "size", "range"]  # all three, or a large group of one length would meet in one task
+    quota = prior.join(extra, ["at", "size"]).select(*place, (F.col("extra") - F.col("prior")).alias("quota")).repartition(*place)
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("order", "key"))
+    picked = dealt.repartition(*place).withColumn("rank", rank).join(quota, place)
     copies = F.col("base") + F.when((F.col("rank") <= F.col("quota")) & (F.col("base") < int(CAP)), 1).otherwise(0)
     return picked.select(F.col("key").alias(key), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
