@@ -85,8 +85,7 @@ def test_fit_lengths_is_as_near_as_possible(groups, share):
     for n, c in groups:
         sums = {s + n * k for s in sums for k in range(c + 1)}
     got = sum(n * t for n, t in zip(lengths, take, strict=True))
-    assert abs(got - want) <= max(lengths)  # proportional counts first, then exact where the window reaches
-    assert got in sums
+    assert got in sums and abs(got - round(want)) == min(abs(s - round(want)) for s in sums)
 
 
 def test_water_fill_caps_and_reshares():

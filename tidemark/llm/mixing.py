@@ -3,8 +3,8 @@
 Each source gets a share of the budget by weight; shares stop at ``cap`` times the source's size and the
 excess is shared again by weight.  Within a source every document is taken whole ``base`` times
 (the whole part of target/size), and the rest of the target is a subset sum: documents are counted by
-exact length, lengths first give their proportional counts, and a bounded-knapsack dynamic programme
-over what is left of the budget (``WINDOW`` words at most) picks how many more of each length to take so
+exact length, lengths first give counts in proportion to all but half a ``WINDOW`` of words, and a
+bounded-knapsack dynamic programme over the remaining budget (``WINDOW`` words at most) picks how many more of each length to take so
 that the sum comes as near as it can.  Which documents of a length are taken follows a seeded hash.
 
 Only source totals reach the driver (``MAX_SOURCES`` at most).  The programme sees counts by length, one
@@ -63,7 +63,7 @@ def fit_lengths(lengths: Sequence[int], counts: Sequence[int], want: float) -> l
     take = [0] * len(lengths)
     left = round(want)
     for i in order:
-        take[i] = int(counts[i] * (want / total))
+        take[i] = int(counts[i] * (max(0.0, want - WINDOW // 2) / total))
         left -= take[i] * lengths[i]
     for i in order:  # down to what the programme covers
         if left > WINDOW // 2 and lengths[i] <= left:
