@@ -112,15 +112,16 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", lengt
             yield batch_of(WINDOWS, window=window, doc=batch.column(0).take(at), row=batch.column(1).take(at), lo=start)
 
     seeds = written(rows.mapInArrow(seeded, "doc long, row long, anchor long, context long, lo int, hi int"))
-    shared = seeds.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("anchor")
+    # aggregates are written before they are joined back: next to a plain exchange a hot key can be split
+    shared = written(seeds.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("anchor"))
     hits = written(seeds.join(shared, "anchor"))
     contexts = written(hits.groupBy("anchor", "context").agg(F.min("doc").alias("first")))
-    mixed = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    mixed = written(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     whole = hits.join(contexts, ["anchor", "context"]).where("doc > first").select("doc", "row", "lo", F.col("hi") + length)
     edge = contexts.join(mixed, "anchor").select("anchor", "context", F.col("first").alias("doc"))
     asked = hits.join(edge, ["anchor", "context", "doc"]).groupBy("doc", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     windows = written(rows.join(asked, ["doc", "row"]).select("doc", "row", "text", "runs").mapInArrow(extended, "window long, doc long, row long, lo int"))
-    firsts = windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
+    firsts = written(windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first"))
     parts = windows.join(firsts, "window").where("doc > first").select("doc", "row", "lo", F.col("lo") + length)
     return whole.union(parts).toDF("doc", "row", "lo", "hi").groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
