@@ -14,7 +14,7 @@ candidates expected, which are the prefix's frequencies over l.  Sets chosen l a
 prefix shingles before they are verified.
 
 Search, in two rounds, so that a group of near copies is not multiplied out:
-1. Stars.  In the posting list of each prefix shingle all sets meet only the first, the hub.  Verified links
+1. Stars.  In the posting list of each prefix shingle all sets of fitting size meet only the first, the hub.  Verified links
    give stars: each set joins its smallest linked hub, with the distance (1 - Jaccard) as its radius.
 2. Between stars.  Posting lists are reduced to stars; stars that share a list are candidates, lone sets only
    with enough shared prefix shingles and fitting sizes.  Hubs are verified.  Distance is a metric, so two
@@ -39,7 +39,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, gram_hashes, mix, slices, table, word_hashes, written
+from .common import batch_of, discard, gram_hashes, mix, slices, table, word_hashes, written
 from .graph import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -165,8 +165,11 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # postings of the prefixes' shingles that several sets share
     found = written(_prefixes(rows.where("id IS NOT NULL"), common, df).where(f"n >= {SHINGLE}").join(reps, "id", "left_semi"))
     lists = found.select("id", "n", "l", F.explode("tokens").alias("token"))
-    hubs = lists.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("token", "hub")
+    hubs = lists.groupBy("token").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last")
+    hubs = written(hubs.select("token", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
     shared = written(lists.join(hubs, "token"))
+    discard(found)
+    discard(hubs)
     texts = written(rows.join(shared.select("id").distinct(), "id", "left_semi"))
     component = connected_components(_links(shared, texts)).withColumnRenamed("id", "rep")
     placed = classes.join(component, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
@@ -182,17 +185,18 @@ def _fits(x: str, y: str) -> str:
 
 
 def _links(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all links; shared: postings (token, hub, id, n, l)."""
+    """Links (a, b) whose components are those of all links; shared: postings (token, hub, hub_n, id, n, l)."""
     distance = 1 - F.col("shared") / F.col("total")
     # round 1: every set against the hubs of its lists
-    with_hub = written(overlaps(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts))
+    near = shared.where(f"id <> hub AND {_fits('n', 'hub_n')} AND {_fits('hub_n', 'n')}")
+    with_hub = written(overlaps(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts))
     linked = with_hub.where(LINKED)
     nearest = F.min(F.struct("a", distance.alias("r"))).alias("x")
     star = written(linked.groupBy(F.col("b").alias("id")).agg(nearest).select("id", F.col("x.a").alias("hub"), F.col("x.r").alias("r")))
     radius = star.groupBy("hub").agg(F.max("r").alias("radius"))
 
     # round 2: stars that share a list
-    own = shared.drop("hub").join(star.select("id", "hub"), "id", "left").select("token", F.coalesce("hub", "id").alias("star"), "n", "l")
+    own = shared.drop("hub", "hub_n").join(star.select("id", "hub"), "id", "left").select("token", F.coalesce("hub", "id").alias("star"), "n", "l")
     lists = own.groupBy("token", "star").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("l"))
     lists = written(lists.join(radius.withColumnRenamed("hub", "star"), "star", "left").na.fill(0.0, ["radius"]))
     x, y = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("star", "least", "most", "l", "radius")]) for s in "xy")

@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, gram_hashes, mix, powers, slices, table, word_hashes, written
+from .common import batch_of, discard, gram_hashes, mix, powers, slices, table, word_hashes, written
 
 LENGTH, GRAM = 50, 12
 _SPAN = 0xD1342543DE82EF95
@@ -115,6 +115,7 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", lengt
     # aggregates are written before they are joined back: next to a plain exchange a hot key can be split
     shared = written(seeds.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("anchor"))
     hits = written(seeds.join(shared, "anchor"))
+    discard(seeds)
     contexts = written(hits.groupBy("anchor", "context").agg(F.min("doc").alias("first")))
     mixed = written(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     whole = hits.join(contexts, ["anchor", "context"]).where("doc > first").select("doc", "row", "lo", F.col("hi") + length)
