@@ -44,7 +44,8 @@ def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
     Returns one row per chosen path: tree, leaf, rank (1 is best), n_turns, formatted.  Branches rank
     by the mean score of their messages, then by more turns, then by the smaller leaf.
     """
-    nodes = messages.select("tree", "id", "parent", text_or_empty("role").alias("role"), text_or_empty().alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    # written once: paths are found on ids alone, and texts move only when turns are put together
+    nodes = written(messages.select("tree", "id", "parent", text_or_empty("role").alias("role"), text_or_empty().alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")))
     links = nodes.select("tree", "id", "parent")
     known = links.select("tree", F.col("id").alias("parent"))
     jump = written(links.join(known, ["tree", "parent"]).select("tree", "id", F.col("parent").alias("up")))
