@@ -17,7 +17,8 @@ Search, in two rounds, so that a group of near copies is not multiplied out:
 1. Stars.  In the posting list of each prefix shingle all sets of fitting size meet only the first, the hub.  Verified links
    give stars: each set joins its smallest linked hub, with the distance (1 - Jaccard) as its radius.
 2. Between stars.  Posting lists are reduced to stars; stars that share a list are candidates, lone sets only
-   with enough shared prefix shingles and fitting sizes.  Hubs are verified.  Distance is a metric, so two
+   with min(l, m) shared shingles.  What the prefixes share and what lies beyond them must be able to reach
+   the threshold.  Hubs are verified.  Distance is a metric, so two
    stars further apart than both radii plus 0.2 hold no link; members of the others are compared pair by pair
    as far as the triangle inequality leaves a link possible.
 Links go to connected components; no link between different components of the graph is lost.
@@ -165,8 +166,8 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # postings of the prefixes' shingles that several sets share
     found = written(_prefixes(rows.where("id IS NOT NULL"), common, df).where(f"n >= {SHINGLE}").join(reps, "id", "left_semi"))
     lists = found.select("id", "n", "l", F.explode("tokens").alias("token"))
-    hubs = lists.groupBy("token").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last")
-    hubs = written(hubs.select("token", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
+    hubs = lists.groupBy("token").agg(F.min(F.struct("id", "n", "l")).alias("hub"), F.max("id").alias("last")).where("hub.id < last")
+    hubs = written(hubs.select("token", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.l").alias("hub_l")))
     shared = written(lists.join(hubs, "token"))
     discard(found)
     discard(hubs)
@@ -184,27 +185,44 @@ def _fits(x: str, y: str) -> str:
     return f"100 * {x} >= {PERCENT} * {y}"
 
 
+def _needed(n: str) -> str:
+    return f"cast(ceil({PERCENT} * {n} / 100) AS long)"
+
+
+def _enough(k: str, x: tuple[str, str, str], y: tuple[str, str, str]) -> str:
+    """SQL: k shared prefix shingles can reach the threshold; x and y are (least size, most size, l).
+
+    Prefixes are cut in one order, so what the set with the lower cut shares beyond k lies in its
+    rest, o - l shingles; overlap must come to PERCENT / (100 + PERCENT) of both sizes.
+    """
+    rest = f"greatest({_needed(x[1])} - {x[2]}, {_needed(y[1])} - {y[2]})"
+    return f"{100 + PERCENT} * ({k} + {rest}) >= {PERCENT} * ({x[0]} + {y[0]})"
+
+
 def _links(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all links; shared: postings (token, hub, hub_n, id, n, l)."""
+    """Links (a, b) whose components are those of all links; shared: postings (token, id, n, l, and the hub's)."""
     distance = 1 - F.col("shared") / F.col("total")
     # round 1: every set against the hubs of its lists
-    near = shared.where(f"id <> hub AND {_fits('n', 'hub_n')} AND {_fits('hub_n', 'n')}")
-    with_hub = written(overlaps(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts))
+    near = shared.where(f"id <> hub AND {_fits('n', 'hub_n')} AND {_fits('hub_n', 'n')}").groupBy(F.col("hub").alias("a"), F.col("id").alias("b"))
+    near = near.agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n", "l", "hub_n", "hub_l")])
+    # a list's hub may hide some shared shingles from this count, so half is asked for; round 2 takes the rest
+    near = near.where(_enough("2 * k", ("n", "n", "l"), ("hub_n", "hub_n", "hub_l")))
+    with_hub = written(overlaps(near.select("a", "b"), texts))
     linked = with_hub.where(LINKED)
     nearest = F.min(F.struct("a", distance.alias("r"))).alias("x")
     star = written(linked.groupBy(F.col("b").alias("id")).agg(nearest).select("id", F.col("x.a").alias("hub"), F.col("x.r").alias("r")))
     radius = star.groupBy("hub").agg(F.max("r").alias("radius"))
 
     # round 2: stars that share a list
-    own = shared.drop("hub", "hub_n").join(star.select("id", "hub"), "id", "left").select("token", F.coalesce("hub", "id").alias("star"), "n", "l")
+    own = shared.select("token", "id", "n", "l").join(star.select("id", "hub"), "id", "left").select("token", F.coalesce("hub", "id").alias("star"), "n", "l")
     lists = own.groupBy("token", "star").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("l"))
     lists = written(lists.join(radius.withColumnRenamed("hub", "star"), "star", "left").na.fill(0.0, ["radius"]))
     x, y = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("star", "least", "most", "l", "radius")]) for s in "xy")
     met = x.join(y, "token").where(f"star_x < star_y AND {_fits('most_x', 'least_y')} AND {_fits('most_y', 'least_x')}")
-    pairs = met.groupBy(F.col("star_x").alias("a"), F.col("star_y").alias("b")).agg(
-        F.count("*").alias("k"), F.least(F.min("l_x"), F.min("l_y")).alias("l"), F.max("radius_x").alias("ra"), F.max("radius_y").alias("rb")
-    )
-    pairs = written(pairs.where("ra > 0 OR rb > 0 OR k >= l").select("a", "b", "ra", "rb").join(with_hub, ["a", "b"], "left"))
+    ends = [F.min(c).alias(c) for c in ("least_x", "least_y", "l_x", "l_y")] + [F.max(c).alias(c) for c in ("most_x", "most_y")]
+    pairs = met.groupBy(F.col("star_x").alias("a"), F.col("star_y").alias("b")).agg(F.count("*").alias("k"), *ends, F.max("radius_x").alias("ra"), F.max("radius_y").alias("rb"))
+    pairs = pairs.where("ra > 0 OR rb > 0 OR k >= least(l_x, l_y)").where(_enough("k", ("least_x", "most_x", "l_x"), ("least_y", "most_y", "l_y")))
+    pairs = written(pairs.select("a", "b", "ra", "rb").join(with_hub, ["a", "b"], "left"))
     new = written(overlaps(pairs.where("total IS NULL").select("a", "b"), texts))
     links = written(linked.select("a", "b").union(new.where(LINKED).select("a", "b")))
 
