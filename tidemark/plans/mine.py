@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import distance_from_rssi
 from tidemark.operators import windows
 from tidemark.plans.pipelines import median_location
 
@@ -40,8 +41,42 @@ def packets(spark: SparkSession, horizons: int = 16, lamps: int = 256, beacons_p
     return rows.withColumn("seq", (F.col("ts") + late) * 10_000 + F.col("lamp")).drop("r")
 
 
-def median_rssi(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The reference workload: drop doubles, explode readings, sliding 60 s by 5 s medians, two best beacons."""
-    once = rows.dropDuplicates(["lamp", "ts"])
-    readings = once.select("lamp", "ts", F.explode("readings").alias("r")).select("lamp", "ts", "r.beacon", "r.rssi")
+def _median(values):
+    """Median of a sorted, non-empty array."""
+    n = F.size(values)
+    at = lambda i: F.element_at(values, F.floor(i).cast("int") + 1)
+    return (at((n - 1) / 2) + at(n / 2)) / 2
+
+
+def median_rssi(spark: SparkSession, rows: DataFrame, size_ms: int = 60_000, step_ms: int = 5_000) -> DataFrame:
+    """Doubles dropped, sliding medians of each beacon's signal, position between the two best.
+
+    A window's content changes only where a packet enters or leaves it, so medians and positions are worked out
+    once per change and lamp, and then given to all windows up to the next change.  One shuffle, by lamp.
+    """
+    if size_ms % step_ms:
+        raise ValueError("the size must be a multiple of the step")
+    panes = size_ms // step_ms
+    once = rows.select("lamp", "ts", "readings").repartition("lamp").dropDuplicates(["lamp", "ts"])
+    enter = (F.floor(F.col("ts") / step_ms) + 1).cast("long")
+    moves = once.select("lamp", F.explode(F.array(F.struct(enter.alias("c"), F.col("readings").alias("r")), F.struct((enter + panes).alias("c"), F.lit(None).cast(once.schema["readings"].dataType).alias("r")))).alias("m")).select("lamp", "m.c", "m.r")
+    by_lamp = Window.partitionBy("lamp").orderBy("c")
+    held = F.flatten(F.collect_list("r").over(by_lamp.rangeBetween(-(panes - 1), 0)))
+    states = moves.select("lamp", "c", held.alias("held"), F.lead("c").over(by_lamp).alias("next")).where("next > c AND size(held) > 0")
+    ordered = F.array_sort("held")
+    names = F.array_distinct(F.transform("held", lambda x: x["beacon"]))
+    medians = F.transform(names, lambda b: F.struct(_median(F.transform(F.filter("held", lambda x: x["beacon"] == b), lambda x: x["rssi"])).alias("rssi"), b.alias("beacon")))
+    top = states.withColumn("held", ordered).select("lamp", "c", "next", F.slice(F.sort_array(medians, asc=False), 1, 2).alias("top"))
+    place = F.broadcast(beacons(spark).select("beacon", "x", "y").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("beacon", F.struct("x", "y")))).alias("grid")))
+    one, two = F.get("top", F.lit(0)), F.get("top", F.lit(1))
+    d1, d2 = distance_from_rssi(one["rssi"]), distance_from_rssi(two["rssi"])
+    p1, p2 = F.try_element_at("grid", one["beacon"]), F.try_element_at("grid", two["beacon"])
+    between = lambda f: F.when(two.isNull(), p1[f]).otherwise(p1[f] + (p2[f] - p1[f]) * (d1 / (d1 + d2)))
+    placed = top.join(place).select("lamp", "c", "next", one["beacon"].alias("beacon"), between("x").alias("x"), between("y").alias("y"))
+    return placed.select("lamp", F.explode(F.sequence(F.col("c") * step_ms, (F.col("next") - 1) * step_ms, F.lit(step_ms).cast("long"))).alias("win_end"), "beacon", "x", "y")
+
+
+def median_rssi_plain(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The same by one row per reading and window."""
+    readings = rows.dropDuplicates(["lamp", "ts"]).select("lamp", "ts", F.explode("readings").alias("r")).select("lamp", "ts", "r.beacon", "r.rssi")
     return median_location(readings, beacons(spark), windows.sliding(60_000, 5_000))
