@@ -20,4 +20,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_chat_formatting": chat.SQL, "op10_embedding_near_dedup": embeddings.SQL}
+    return {
+        "op2_ngram_jaccard_join": jaccard.SQL,
+        "op3_substring_dedup": substrings.SQL,
+        "op8_chat_formatting": chat.SQL,
+        "op10_embedding_near_dedup": embeddings.SQL,
+    }
