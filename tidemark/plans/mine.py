@@ -53,6 +53,7 @@ def median_rssi(spark: SparkSession, rows: DataFrame, size_ms: int = 60_000, ste
 
     A window's content changes only where a packet enters or leaves it, so medians and positions are worked out
     once per change and lamp, and then given to all windows up to the next change.  One shuffle, by lamp.
+    Times are not negative, so no window starts before 0.
     """
     if size_ms % step_ms:
         raise ValueError("the size must be a multiple of the step")
@@ -73,7 +74,8 @@ def median_rssi(spark: SparkSession, rows: DataFrame, size_ms: int = 60_000, ste
     p1, p2 = F.try_element_at("grid", one["beacon"]), F.try_element_at("grid", two["beacon"])
     between = lambda f: F.when(two.isNull(), p1[f]).otherwise(p1[f] + (p2[f] - p1[f]) * (d1 / (d1 + d2)))
     placed = top.join(place).select("lamp", "c", "next", one["beacon"].alias("beacon"), between("x").alias("x"), between("y").alias("y"))
-    return placed.select("lamp", F.explode(F.sequence(F.col("c") * step_ms, (F.col("next") - 1) * step_ms, F.lit(step_ms).cast("long"))).alias("win_end"), "beacon", "x", "y")
+    ends = F.sequence(F.col("c") * step_ms, (F.col("next") - 1) * step_ms, F.lit(step_ms).cast("long"))
+    return placed.select("lamp", F.explode(ends).alias("win_end"), "beacon", "x", "y").where(F.col("win_end") >= size_ms)
 
 
 def median_rssi_plain(spark: SparkSession, rows: DataFrame) -> DataFrame:
