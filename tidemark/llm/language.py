@@ -34,6 +34,8 @@ from .common import batch_of, slices, table
 
 SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 400, 40_000, 2_000
 BLOCK, ALPHABET = 256, 62
+#: Bytes of text parsed at once; bounds a worker's arrays.
+SLICE = 1 << 20
 UND = "und"
 Model = tuple[tuple[str, str], ...]  # (language, folded sample), by rank: more rows first
 
@@ -121,8 +123,8 @@ class Parser:
             # no transition: the phrase ends and the next begins at this character; one that the sample
             # lacks is a phrase of its own, in a last state without transitions
             t = np.concatenate([t, np.full((1, self.letters), -1, np.int32)])
-            fresh = np.where(start >= 0, start, len(t) - 1) + base
-            tables.append(np.where(t >= 0, t + base, -1 - fresh[None, :]).astype(np.int32))
+            fresh = (np.where(start >= 0, start, len(t) - 1) + base).astype(np.int32)
+            tables.append(np.where(t >= 0, t + np.int32(base), -1 - fresh[None, :]).astype(np.int32, copy=False))
             self.names.append(name)
             self.bits.append(math.log2(len(text)))
             self.root.append(base)
@@ -196,7 +198,7 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFram
     """id, lang_pred, score of every row of ``documents`` (key, text); nothing but the text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             langs, scores = identify(model, [t or "" for t in batch.column(1).to_pylist()])
             yield batch_of(SCHEMA, id=batch.column(0), lang_pred=langs, score=scores)
 
@@ -207,7 +209,7 @@ def keep_known(documents: DataFrame, model: Model, text: str = "text") -> DataFr
     """The rows of ``documents`` whose text has a language, all columns unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             langs, _ = identify(model, [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             yield batch.filter(pa.array([x != UND for x in langs]))
 
