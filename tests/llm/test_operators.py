@@ -137,6 +137,17 @@ def test_op2_stars_chains_and_common_passages(spark):
     assert got == _components(sets, links)
 
 
+def test_op2_sets_of_few_shingles(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "k l m n k l m n k l m n k l m n"), (4, "k l m n k l m n k l m n k l m n o"), (5, "p q r s t u v"), (6, "p q r s t u v w"), (7, "x y"), (8, "x y z")]
+    r = random.Random(5)
+    rows += [(10 + i, " ".join(f"{g}{j}" for j in range(a, a + r.randint(3, 12)))) for i, (g, a) in enumerate((g, a) for g in "ABCDEF" for a in (0, 0, 0, 1, 1))]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, t.lower().split()) for d, t in rows)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {(1, 2), (3, 4)} <= set(links) and not {(5, 6), (7, 8)} & set(links)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(sets, links)
+
+
 def test_op3(spark, sf):
     first = {}
     for d, t, *_ in sorted(ROWS, key=lambda r: r[0]):

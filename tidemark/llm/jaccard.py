@@ -26,7 +26,7 @@ Links go to connected components; no link between different components of the gr
 Verification compares whole sets, built again from the texts of the candidates.
 
 Null text or text without words: empty set, size 0, linked with nothing.  Fewer than five words: the whole
-sequence is one shingle.  Very long texts count whole.  Repeated rows and equal texts share a class; rows
+sequence is one shingle.  Sets of fewer than four shingles link with equal sets only.  Very long texts count whole.  Repeated rows and equal texts share a class; rows
 with a null id are given back unlinked.  Empty tables give no rows.  Extra columns are ignored.
 """
 
@@ -164,7 +164,8 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     reps = classes.select(F.col("rep").alias("id"))
 
     # postings of the prefixes' shingles that several sets share
-    found = written(_prefixes(rows.where("id IS NOT NULL"), common, df).where(f"n >= {SHINGLE}").join(reps, "id", "left_semi"))
+    # a set that one more shingle takes below the threshold links with equal sets only, which its class holds
+    found = written(_prefixes(rows.where("id IS NOT NULL"), common, df).where(_fits("n", "(n + 1)")).join(reps, "id", "left_semi"))
     lists = found.select("id", "n", "l", F.explode("tokens").alias("token"))
     hubs = lists.groupBy("token").agg(F.min(F.struct("id", "n", "l")).alias("hub"), F.max("id").alias("last")).where("hub.id < last")
     hubs = written(hubs.select("token", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.l").alias("hub_l")))
