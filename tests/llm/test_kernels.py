@@ -88,6 +88,24 @@ def test_fit_lengths_is_as_near_as_possible(groups, share):
     assert got in sums and abs(got - round(want)) == min(abs(s - round(want)) for s in sums)
 
 
+@pytest.mark.parametrize(("lengths", "want", "best"), [([300_000, 200_000, 190_000], 390_000, 390_000), ([300_000, 200_000, 190_000], 250_000, 200_000), ([900_001, 500_000, 400_003, 70_000], 470_003, 470_003), ([1_000_000, 3], 400_000, 3)])
+def test_fit_lengths_of_very_long_documents(lengths, want, best):
+    take = mixing.fit_lengths(lengths, [1] * len(lengths), want)
+    assert sum(n * t for n, t in zip(lengths, take, strict=True)) == best
+
+
+@given(st.lists(st.tuples(st.integers(1, 300_000), st.integers(1, 2)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.floats(0, 1))
+@settings(max_examples=40, deadline=None)
+def test_fit_lengths_is_as_near_as_possible_beyond_the_window(groups, share):
+    lengths, counts = [g[0] for g in groups], [g[1] for g in groups]
+    want = share * sum(n * c for n, c in groups)
+    sums = {0}
+    for n, c in groups:
+        sums = {s + n * k for s in sums for k in range(c + 1)}
+    got = sum(n * t for n, t in zip(lengths, mixing.fit_lengths(lengths, counts, want), strict=True))
+    assert abs(got - round(want)) == min(abs(s - round(want)) for s in sums)
+
+
 def test_water_fill_caps_and_reshares():
     out = mixing.water_fill([10, 100, 50], [3, 1, 2], 240, 2)
     assert out == [20, 120, 100] and mixing.water_fill([], [], 0, 2) == []

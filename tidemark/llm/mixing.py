@@ -3,9 +3,12 @@
 Each source gets a share of the budget by weight; shares stop at ``cap`` times the source's size and the
 excess is shared again by weight.  Within a source every document is taken whole ``base`` times
 (the whole part of target/size), and the rest of the target is a subset sum: documents are counted by
-exact length, lengths first give counts in proportion to all but half a ``WINDOW`` of words, and a
-bounded-knapsack dynamic programme over the remaining budget (``WINDOW`` words at most) picks how many more of each length to take so
-that the sum comes as near as it can.  Which documents of a length are taken follows a seeded hash.
+exact length, lengths first give counts in proportion to all but half a window of words, and a
+bounded-knapsack dynamic programme over the whole remaining budget picks how many more of each length to take.
+The window is ``WINDOW`` words or twice the longest document; when no sum meets the target, it grows eightfold
+until one does or nothing is fixed before the programme, whose sum is then the nearest there is.  Only above
+``MOST`` (in units of the lengths' common divisor) it stops growing and the nearest sum found counts.
+Which documents of a length are taken follows a seeded hash.
 
 Only source totals reach the driver (``MAX_SOURCES`` at most).  The programme sees counts by length, one
 group per source, not documents.  Documents of one length are ranked in 4096 hash ranges, so a source
@@ -18,6 +21,7 @@ Empty tables give no rows.  Extra columns are kept by ``mix`` and cannot clash w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -29,6 +33,8 @@ from .common import table, written
 #: Weights by order of source, share of all sizes, largest share of a source's size.
 WEIGHTS, BUDGET, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
 WINDOW, RANGES, SEED, MAX_SOURCES = 1 << 16, 4096, 20240229, 1_000_000
+#: The widest window: a set of sums is a bit for each, and a programme keeps as many sets as halvings of its items.
+MOST = 1 << 28
 
 
 def word_count(text: str = "text"):
@@ -54,47 +60,77 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, ca
     return out
 
 
+def nearest_sum(weights: Sequence[int], goal: int, bits: int) -> tuple[int, list[int]]:
+    """The sum of some of ``weights``, below ``bits``, that is nearest to ``goal``, and which they are."""
+    mask, reach, n = (1 << bits) - 1, 1, 0
+    for w in weights:
+        if reach >> goal & 1:
+            break
+        reach |= (reach << w) & mask if w < bits else 0
+        n += 1
+    low = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reach >> goal
+    high = goal + (above & -above).bit_length() - 1 if above else None
+    best = high if high is not None and high - goal < goal - low else low
+    taken: list[int] = []
+
+    def walk(first: int, last: int, base: int, left: int) -> int:
+        """Takes weights of first..last until ``left`` is in ``base``, the sums of those before; keeps few sets at once."""
+        if base >> left & 1:
+            return left
+        if last - first == 1:
+            taken.append(first)
+            return left - weights[first]
+        middle, mid = (first + last) // 2, base
+        for w in weights[first:middle]:
+            mid |= (mid << w) & mask if w < bits else 0
+        return walk(first, middle, base, walk(middle, last, mid, left))
+
+    walk(0, n, 1, best)
+    return best, taken
+
+
 def fit_lengths(lengths: Sequence[int], counts: Sequence[int], want: float) -> list[int]:
     """How many of each length to take, none above its count, for a sum as near ``want`` as is found."""
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+    total, goal = sum(n * c for n, c in zip(lengths, counts, strict=True)), round(want)
     if want >= total:
         return list(counts)
+    if 2 * goal > total:  # what is left out is the smaller sum
+        out = fit_lengths(lengths, counts, total - goal)
+        return [c - k if n else 0 for n, c, k in zip(lengths, counts, out, strict=True)]
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
-    take = [0] * len(lengths)
-    left = round(want)
-    for i in order:
-        take[i] = int(counts[i] * (max(0.0, want - WINDOW // 2) / total))
-        left -= take[i] * lengths[i]
-    for i in order:  # down to what the programme covers
-        if left > WINDOW // 2 and lengths[i] <= left:
-            more = min(counts[i] - take[i], max(0, left - WINDOW // 2) // lengths[i])
+    if not order:
+        return [0] * len(lengths)
+    step = math.gcd(*(lengths[i] for i in order))  # all sums are its multiples
+    aim, longest = (2 * goal + step) // (2 * step), lengths[order[0]] // step
+    best, window = None, max(WINDOW, 2 * longest)
+    while True:
+        take, left = [0] * len(lengths), aim
+        for i in order:
+            take[i] = int(counts[i] * (max(0, aim - window // 2) * step / total))
+            left -= take[i] * (lengths[i] // step)
+        for i in order:  # down to what the programme covers: what is skipped is longer than what is left of it
+            more = min(counts[i] - take[i], max(0, left - window // 2) // (lengths[i] // step))
             take[i] += more
-            left -= more * lengths[i]
-    for i in order:  # one more of a length where only longer ones are left
-        if left > WINDOW and lengths[i] <= left and take[i] < counts[i]:
-            take[i] += 1
-            left -= lengths[i]
-    limit = min(left, WINDOW)
-    items = []  # (length, copies together), counts split into powers of two
-    for i in reversed(order):
-        spare, step = min(counts[i] - take[i], 2 * limit // lengths[i] + 1), 1
-        while spare > 0 and lengths[i] <= 2 * limit:
-            step = min(step, spare)
-            items.append((i, step))
-            spare, step = spare - step, step * 2
-    mask, reach, seen = (1 << (2 * limit + 1)) - 1, 1, [1]
-    for i, n in items:
-        reach |= (reach << (lengths[i] * n)) & mask
-        seen.append(reach)
-        if reach >> limit & 1:
-            break
-    best = next((v for d in range(limit + 1) for v in (limit - d, limit + d) if v >= 0 and reach >> v & 1), 0)
-    for k in range(len(seen) - 1, 0, -1):
-        if not seen[k - 1] >> best & 1:
-            i, n = items[k - 1]
-            take[i] += n
-            best -= lengths[i] * n
-    return take
+            left -= more * (lengths[i] // step)
+        bits = left + min(left, longest) + 1
+        items = []  # (length, copies together), counts split into powers of two
+        for i in reversed(order):
+            spare, copies = min(counts[i] - take[i], bits // (lengths[i] // step) + 1), 1
+            while spare > 0:
+                copies = min(copies, spare)
+                items.append((i, copies))
+                spare, copies = spare - copies, copies * 2
+        found, used = nearest_sum([lengths[i] // step * n for i, n in items], left, bits)
+        for k in used:
+            take[items[k][0]] += items[k][1]
+        off = abs(sum(n * k for n, k in zip(lengths, take, strict=True)) - goal)
+        if best is None or off < best[0]:
+            best = off, take
+        # nearest of all: no multiple is nearer, or the programme covered the whole budget
+        if found == left or window // 2 >= aim or 8 * window > MOST:
+            return best[1]
+        window *= 8
 
 
 def mix(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
