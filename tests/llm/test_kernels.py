@@ -67,6 +67,26 @@ def test_language_edge_cases():
     assert language.identify((), ["abc"]) == (["und"], [0.0])
 
 
+def test_languages_of_many_letters_are_told_apart():
+    r = random.Random(2)
+    latin = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzéèüöäßñçàê") for _ in range(5)) for _ in range(600))
+    greek = " ".join("".join(chr(r.randint(0x3B1, 0x3C9)) for _ in range(5)) for _ in range(600))
+    cyrillic = " ".join("".join(chr(r.randint(0x430, 0x44F)) for _ in range(5)) for _ in range(600))
+    han = {k: " ".join("".join(chr(r.randint(at, at + 800)) for _ in range(8)) for _ in range(100)) for k, at in (("ja", 0x4E00), ("zh", 0x6000))}
+    model = tuple((k, f" {t} ") for k, t in [("fr", latin), ("el", greek), ("ru", cyrillic), *han.items()])
+    assert language.identify(model, [han["ja"][90:160], han["zh"][90:160], latin[60:99], greek[60:99], cyrillic[60:99]])[0] == ["ja", "zh", "fr", "el", "ru"]
+    text = "".join(r.choice([*han["zh"][:40], *latin[:40], "字", " "]) for _ in range(250))
+    padded, got = f" {language.fold(text)} ", language.Parser(model).phrases([text])[0][0]
+    for j, (_, sample) in enumerate(model):  # as a plain greedy parse
+        i, count = 0, 0
+        while i < len(padded):
+            n = 1
+            while i + n < len(padded) and padded[i : i + n + 1] in sample:
+                n += 1
+            i, count = i + n, count + 1
+        assert abs(int(got[j]) - count) <= 1
+
+
 @given(st.lists(st.integers(0, 8), max_size=60), st.integers(1, 12))
 @settings(max_examples=80, deadline=None)
 def test_sliding_argmin(values, width):

@@ -4,7 +4,8 @@ For each language a suffix automaton is built over a bounded sample of its label
 parsed greedily into phrases, each the longest match that starts where the last one ended; a language
 needs ``phrases * log2(sample length) / characters`` bits per character, and the least wins.
 
-Text is folded first: lower case, letters kept, every run of other characters becomes one space.
+Text is folded first: lower case, letters kept, every run of other characters becomes one space.  Each letter
+of the samples has its own code, however many there are; a letter that no sample has matches nothing.
 Parsing follows one transition per character, for many blocks of ``BLOCK`` characters and all
 languages at once; a phrase ends with its block, which adds at most one phrase per block and language.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, slices, table
 
 SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 400, 40_000, 2_000
-BLOCK, ALPHABET = 256, 62
+BLOCK, DENSE = 256, 62
 #: Bytes of text parsed at once; bounds a worker's arrays.
 SLICE = 1 << 20
 UND = "und"
@@ -68,9 +69,8 @@ def fit(labelled: DataFrame, lang: str = "lang", key: str = "doc_id") -> Model:
     return tuple(model)
 
 
-def automaton(text: list[int], letters: int) -> np.ndarray:
-    """The suffix automaton's transitions as a table [state, letter]: next state, -1 where there is none."""
-    size = 2 * len(text) + 1
+def automaton(text: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton's transitions: of each state, the next by letter."""
     after, link, length, last, n = [dict()], [-1], [0], 0, 1
     for c in text:
         cur = n
@@ -96,51 +96,74 @@ def automaton(text: list[int], letters: int) -> np.ndarray:
                 link[q] = link[cur] = n
                 n += 1
         last = cur
-    out = np.full((min(n, size), letters), -1, np.int32)
-    for s, d in enumerate(after):
-        for c, t in d.items():
-            out[s, c] = t
-    return out
+    return after
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """1 for each code point that is a letter, 0 for others."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.int32, 0x110000)
 
 
 class Parser:
-    """All languages' automata in one table, whose entries below zero also end a phrase."""
+    """All languages' automata in one table, whose entries below zero also end a phrase.
+
+    The table has a column for each of the ``DENSE`` most frequent letters; transitions by others are few
+    and are kept as sorted keys (state, letter).
+    """
 
     def __init__(self, model: Model) -> None:
         seen = Counter(c for _, t in model for c in t if c != " ")
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.letters = len(letters) + 2  # 0: space, 1: any other letter
-        code = {c: i + 2 for i, c in enumerate(letters)}
-        self.code = np.array([1 if chr(c).isalpha() else 0 for c in range(0x3000)], np.int16)
+        code = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
+        self.codes_ = len(code) + 2  # 0: space, 1: any letter that no sample has
+        self.letters = min(self.codes_, DENSE + 2)
+        self.code = _letters().copy()
         for c, i in code.items():
-            if ord(c) < 0x3000:
-                self.code[ord(c)] = i
-        self.far = {ord(c): i for c, i in code.items() if ord(c) >= 0x3000}
-        self.names, self.bits, tables, self.root, base = [], [], [], [], 0
+            self.code[ord(c)] = i
+        self.names, self.bits, tables, self.root, self.lone, base = [], [], [], [], [], 0
+        keys, targets = [], []
         for name, text in model:
-            t = automaton([0 if c == " " else code.get(c, 1) for c in text], self.letters)
-            start = t[0]
+            after = automaton([0 if c == " " else code[c] for c in text])
             # no transition: the phrase ends and the next begins at this character; one that the sample
             # lacks is a phrase of its own, in a last state without transitions
-            t = np.concatenate([t, np.full((1, self.letters), -1, np.int32)])
+            t = np.full((len(after) + 1, self.letters), -1, np.int32)
+            for s, d in enumerate(after):
+                for c, to in d.items():
+                    if c < self.letters:
+                        t[s, c] = to
+                    else:
+                        keys.append((base + s) * self.codes_ + c)
+                        targets.append(base + to)
+            start = t[0]
             fresh = (np.where(start >= 0, start, len(t) - 1) + base).astype(np.int32)
             tables.append(np.where(t >= 0, t + np.int32(base), -1 - fresh[None, :]).astype(np.int32, copy=False))
             self.names.append(name)
             self.bits.append(math.log2(len(text)))
             self.root.append(base)
             base += len(t)
+            self.lone.append(base - 1)
         self.step = np.concatenate(tables).ravel()
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+
+    def _find(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The next states by letters outside the table, -1 where there is none."""
+        key = state * self.codes_ + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], -1)
+
+    def _rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Entries [language, text] as of the table, by letters outside it."""
+        to = self._find(state, letter)
+        first = self._find(np.array(self.root, np.int64)[:, None], letter)
+        first = np.where(first >= 0, first, np.array(self.lone, np.int64)[:, None])
+        return np.where(to >= 0, to, -1 - first)
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Folded codes of all texts, each text between two spaces, and each code's text."""
         whole = "\0".join(["", *texts, ""]).lower()
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        out = np.zeros(len(points), np.int16)
-        near = points < len(self.code)
-        out[near] = self.code[points[near]]
-        if not near.all():
-            other = points[~near]
-            out[~near] = [self.far.get(c, 1 if chr(c).isalpha() else 0) for c in other.tolist()]
+        out = self.code[points]
         owner = np.cumsum(points == 0) - 1
         keep = np.ones(len(out), bool)
         keep[1:] = (out[1:] > 0) | (out[:-1] > 0) | (owner[1:] != owner[:-1])
@@ -165,7 +188,9 @@ class Parser:
         for t in range(int(width[0]) if len(width) else 0):
             live = int(np.searchsorted(-width, -t, side="left"))
             at = codes[start[:live] + t]
-            to = self.step[state[:, :live] * self.letters + at]
+            to = self.step[state[:, :live] * self.letters + np.minimum(at, self.letters - 1)]
+            if len(rare := np.flatnonzero(at >= self.letters)):
+                to[:, rare] = self._rare(state[:, rare], at[rare])
             ended = to < 0
             count[:, :live] += ended
             state[:, :live] = np.where(ended, -1 - to, to)
