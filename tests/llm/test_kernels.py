@@ -166,6 +166,13 @@ def test_tagger_adds_secrets_and_leaves_prose():
     assert secrets.redacted("auth: ghp_x done", [("crf", 6, 11)]) == "auth: [SECRET] done"
 
 
+def test_tagged_secrets_that_reach_beyond_a_pattern_stay():
+    text = "auth: sk_live_0123456789abcdefGHIJ done"
+    base, spans = secrets.all_spans([text], secrets.trained())[0]
+    assert base == [("hex", 14, 30)] and spans == [("crf", 6, 34), ("hex", 14, 30)]
+    assert secrets.redacted(text, spans) == "auth: [SECRET] done"
+
+
 @given(st.binary(max_size=300))
 @settings(max_examples=50, deadline=None)
 def test_wav_round_trip_and_sniff(payload):

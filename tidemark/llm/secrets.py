@@ -3,7 +3,7 @@
 Base spans come from three patterns, leftmost and non-overlapping for each kind; a span is the whole
 match.  The tagger labels tokens B, I or O (secret begin, inside, outside) from their shape, their
 neighbours and a feature of the file, and Viterbi decodes the best labelling; spans of its secrets that
-touch no base span are added with kind ``crf``.  Base spans always stay.
+lie in no base span are added with kind ``crf``.  Base spans always stay.
 
 Tokens are runs of letters, digits and ``_ + / . -``, or runs of other characters outside white space.
 A text is decoded in consecutive blocks of ``BLOCK`` tokens, for many blocks at once; features look across
@@ -278,7 +278,7 @@ def all_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[tu
     out = []
     for text, more in zip(texts, tagged_spans(texts, model), strict=True):
         base = base_spans(text)
-        free = [s for s in more if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+        free = [s for s in more if not any(b[1] <= s[1] and s[2] <= b[2] for b in base)]
         out.append((base, sorted(base + free, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))))
     return out
 
