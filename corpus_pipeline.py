@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  A stage sees only what its predecessor kept.
 
-1. language_id      documents without a letter (predicted ``und``) go; nothing else does.
+1. language_id      documents without a letter (predicted ``und``) go; nothing else does, also when no row is labelled.
 2. near_duplicates  of each group of linked documents the one with the smallest doc_id stays; documents
                     without words link with nothing and stay.
 3. secrets          secrets are masked in the text, and n_chars follows the new text.

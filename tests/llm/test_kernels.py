@@ -87,6 +87,11 @@ def test_languages_of_many_letters_are_told_apart():
         assert abs(int(got[j]) - count) <= 1
 
 
+def test_an_empty_model_keeps_texts_with_letters():
+    texts = ["the of", "12 %", "", "日本", "é"]
+    assert language.known((), texts) == language.known((("en", " the of and "),), texts) == [True, False, False, True, True]
+
+
 @given(st.lists(st.integers(0, 8), max_size=60), st.integers(1, 12))
 @settings(max_examples=80, deadline=None)
 def test_sliding_argmin(values, width):

@@ -230,13 +230,20 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFram
     return documents.select(key, "text").mapInArrow(run, "id long, lang_pred string, score double")
 
 
+def known(model: Model, texts: list[str]) -> list[bool]:
+    """Whether each text has a language; with an empty model, whether it has a letter."""
+    if not model:
+        return [any(c.isalpha() for c in t) for t in texts]
+    return [x != UND for x in identify(model, texts)[0]]
+
+
 def keep_known(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose text has a language, all columns unchanged."""
+    """The rows of ``documents`` whose text has a language, all columns unchanged; without a model, a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE):
-            langs, _ = identify(model, [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
-            yield batch.filter(pa.array([x != UND for x in langs]))
+            kept = known(model, [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 
