@@ -52,7 +52,7 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(docs, path, P.PATTERN).withColumnRenamed("key", "doc_id")
+    return bpe.digests(docs, path, P.PATTERN, keep_ids=True).withColumnRenamed("key", "doc_id")
 
 
 STAGES = [

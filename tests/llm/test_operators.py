@@ -310,6 +310,16 @@ def test_pipeline(spark, sf, empty):
     assert p.run(spark, empty).count() == 0
 
 
+def test_pipeline_returns_ids(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(1, "the of and"), (1, "the of and"), (2, None), (None, "日本 x")], "doc_id long, text string")
+    rows = p.encode_bpe(spark, docs, sf).collect()
+    assert Counter(r["doc_id"] for r in rows) == {1: 2, 2: 1, None: 1}
+    for r in rows:
+        assert len(r["ids"]) == r["n_tokens"] and hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest() == r["ids_sha256"]
+
+
 def test_sql_of_this_subpackage_matches(spark):
     duckdb = pytest.importorskip("duckdb")
     d = "/root/testdata/sf0.001"

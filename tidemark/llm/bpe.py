@@ -230,8 +230,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 DIGEST = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def digests(documents: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """Encodes each row, decodes the ids by the token-byte table, and returns counts and digests of both."""
+def digests(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """Encodes each row, decodes the ids by the token-byte table, and returns counts and digests of both, and the ids if asked."""
+    schema, sql = DIGEST, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if keep_ids:
+        schema, sql = DIGEST.append(ENCODED.field("ids")), f"{sql}, ids array<long>"
 
     def result(keys, ids):
         token = sorted(ranks_of(path).items(), key=lambda x: x[1])
@@ -248,9 +251,10 @@ def digests(documents: DataFrame, path: str, pattern: str, key: str = "doc_id")
             data = flat[np.repeat(starts[p] - (ends - w), w) + np.arange(int(w.sum()))].tobytes()
             decoded.append(hashlib.sha256(data).hexdigest())
         sha = [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]
-        yield batch_of(DIGEST, key=keys, n_tokens=[len(i) for i in ids], ids_sha256=sha, decoded_sha256=decoded)
+        more = {"ids": [i.astype(np.int64) for i in ids]} if keep_ids else {}
+        yield batch_of(schema, key=keys, n_tokens=[len(i) for i in ids], ids_sha256=sha, decoded_sha256=decoded, **more)
 
-    return _encode(documents, path, pattern, key, result, DIGEST, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encode(documents, path, pattern, key, result, schema, sql)
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
