@@ -375,3 +375,16 @@ def test_runtime_helpers():
     s.register(lambda: at.append(time.time()))
     s.request(), s.request()
     assert s.is_requested() and len(at) == 1
+
+
+def test_shard_hashes_bytes(spark):
+    def expected(key, n):
+        h = 5381
+        for b in key.encode():
+            h = (h * 33 + b) & ((1 << 62) - 1)
+        return h % n
+
+    keys = ["", "a", "ab", "sensor-17", "Łódź 東京", "x" * 300]
+    rows = spark.createDataFrame([(k,) for k in [*keys, None]], "k string").select("k", scalar.shard(F.col("k"), 1_000_003).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in rows} == {None: None} | {k: expected(k, 1_000_003) for k in keys}
+    assert expected("", 1_000_003) == 5381 and expected("ab", 1_000_003) == 863193

@@ -23,11 +23,16 @@ def hours(n: float) -> int:
 
 
 def shard(key: Column, shards: int) -> Column:
-    """Shard number 0..shards-1 by a times-33 string hash kept to 62 bits, so it can be matched elsewhere."""
+    """Shard number 0..shards-1 by a times-33 hash of the UTF-8 bytes, kept to 62 bits; null for a null key."""
     if shards <= 0:
         raise ValueError("shards must be positive")
-    step = lambda acc, c: (acc * 33 + F.ascii(c)).bitwiseAND(F.lit((1 << 62) - 1))
-    return F.aggregate(F.split(key, "(?!^)"), F.lit(5381).cast("long"), step) % shards
+    mask = F.lit((1 << 62) - 1)
+    code = F.hex(F.encode(key, "UTF-8"))
+    at = F.when(F.length(code) > 0, F.sequence(F.lit(1), F.length(code), F.lit(2))).when(key.isNotNull(), F.array().cast("array<int>"))
+    byte = lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("long")
+    # 33 h as 32 h + h, each step below 2**63
+    times_33 = lambda h: (F.shiftleft(h, 5).bitwiseAND(mask) + h).bitwiseAND(mask)
+    return F.aggregate(at, F.lit(5381).cast("long"), lambda h, i: (times_33(h) + byte(i)).bitwiseAND(mask)) % shards
 
 
 def clock(ts_ms: Column) -> Column:

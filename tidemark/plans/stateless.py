@@ -109,7 +109,7 @@ def count_and_fold(spark, d):
 
 
 def stream_shards(spark, d):
-    return events(spark, d).groupBy(scalar.shard(F.col("event_type"), 8).alias("shard")).agg(F.count("*").alias("n"))
+    return events(spark, d).groupBy(scalar.shard(F.col("event_type"), 7).alias("shard")).agg(F.count("*").alias("n"))
 
 
 CORRECTIONS = EVENTS + """, log AS (SELECT event_id AS seq, user_id, value AS v, CASE WHEN event_type = 'error' THEN 'R' WHEN event_type = 'signup' THEN 'U' ELSE 'D' END AS kind,
@@ -124,6 +124,8 @@ QUERIES = {
 }
 
 SQL = {
+    "stream_shards": """SELECT (list_reduce(list_concat([5381::HUGEINT], list_transform(range(1, length(event_type) + 1), lambda i: ascii(substr(event_type, i::INT, 1))::HUGEINT)), lambda a, b: (a * 33 + b) % 4611686018427387904) % 7)::BIGINT AS shard,
+count(*) AS n FROM events GROUP BY ALL""",
     "map_currency": "SELECT o_orderkey, round(o_totalprice * 0.908, 4) AS price_eur FROM orders",
     "filter_selection": "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 50",
     "map_ts": f"WITH {EVENTS} SELECT event_id, ts - ts % 3600000 AS hour_ms, ((ts % 60000) // 1000)::VARCHAR || '.' || lpad(((ts % 60000) % 1000)::VARCHAR, 3, '0') || 's' AS clock FROM ev",
