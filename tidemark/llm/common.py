@@ -7,8 +7,10 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D of the UTF-8 text, wh
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here when unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one set here when unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -41,6 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning: dict[str, list] = {}
+_lock = threading.Lock()
+
+
+@contextmanager
+def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """Has the session remove shuffle files as a query ends, until the last of several threads here is done."""
+    session = spark._jsparkSession.sessionUUID()
+    with _lock:
+        users = _cleaning.setdefault(session, [0, spark.conf.get(_CLEANUP, None)])
+        users[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            users[0] -= 1
+            if not users[0]:
+                del _cleaning[session]
+                spark.conf.unset(_CLEANUP) if users[1] is None else spark.conf.set(_CLEANUP, users[1])
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -50,12 +74,8 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _shuffle_files_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,9 @@ needs ``phrases * log2(sample length) / characters`` bits per character, and the
 Text is folded first: lower case, letters kept, every run of other characters becomes one space.  Each letter
 of the samples has its own code, however many there are; a letter that no sample has matches nothing.
 Parsing follows one transition per character, for many blocks of ``BLOCK`` characters and all
-languages at once; a phrase ends with its block, which adds at most one phrase per block and language.
+languages at once.  Blocks do not cut phrases: each block is parsed as if a phrase began with it, then
+the parse that really comes in from the block before runs on until one of its phrases begins where one of
+the block's own does; from there on both are the same.  So counts are those of one parse of the whole text.
 
 The sample (fit): rows whose hash of doc_id falls under a threshold set from each language's row count,
 so about ``SAMPLE_ROWS`` rows of a language, of which in hash order the first ``SAMPLE_CHARS`` folded
@@ -143,6 +145,7 @@ class Parser:
             base += len(t)
             self.lone.append(base - 1)
         self.step = np.concatenate(tables).ravel()
+        self.root, self.lone = np.array(self.root, np.int64), np.array(self.lone, np.int64)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
 
@@ -152,16 +155,18 @@ class Parser:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.targets[at], -1)
 
-    def _rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        """Entries [language, text] as of the table, by letters outside it."""
-        to = self._find(state, letter)
-        first = self._find(np.array(self.root, np.int64)[:, None], letter)
-        first = np.where(first >= 0, first, np.array(self.lone, np.int64)[:, None])
-        return np.where(to >= 0, to, -1 - first)
+    def _next(self, state: np.ndarray, letter: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Entries of the table for states [..., text], the texts' letters and languages that fit states' shape."""
+        to = self.step[state * self.letters + np.minimum(letter, self.letters - 1)]
+        if len(rare := np.flatnonzero(letter >= self.letters)):
+            of = lang[..., rare] if lang.shape[-1] == len(letter) else lang
+            found, first = self._find(state[..., rare], letter[rare]), self._find(self.root[of], letter[rare])
+            to[..., rare] = np.where(found >= 0, found, -1 - np.where(first >= 0, first, self.lone[of]))
+        return to
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Folded codes of all texts, each text between two spaces, and each code's text."""
-        whole = "\0".join(["", *texts, ""]).lower()
+        whole = "".join(f"\0{t} " for t in [*texts, ""]).lower()
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         out = self.code[points]
         owner = np.cumsum(points == 0) - 1
@@ -180,22 +185,63 @@ class Parser:
         blocks = -(-size // BLOCK)
         of = np.repeat(np.arange(n), blocks)
         start = np.repeat(first, blocks) + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        width = np.minimum(BLOCK, np.repeat(first + size, blocks) - start)
-        order = np.argsort(-width, kind="stable")
-        of, start, width = of[order], start[order], width[order]
-        state = np.repeat(np.array(self.root, np.int64)[:, None], len(of), 1)
-        count = np.ones((k, len(of)), np.int64)
+        limit = (first + size)[of]
+        end = np.minimum(start + BLOCK, limit)
+        begins, state = self._parse(codes, start, end)
+        cuts = np.flatnonzero(end < limit)  # blocks with a next one in their text
+        extra, enter = np.zeros((k, len(of)), np.int64), np.repeat(start[None], k, 0)
+        more, meet = self._run_on(codes, begins, state[:, cuts], end[cuts], limit[cuts])
+        extra[:, cuts], enter[:, cuts + 1] = more, meet
+        total = np.zeros((n, k), np.int64)
+        for i in range(k):
+            run = np.concatenate(([0], np.cumsum(begins[i], dtype=np.int32)))
+            total[:, i] = np.bincount(of, weights=run[end] - run[np.minimum(enter[i], end)] + extra[i], minlength=n)
+            for t in np.unique(of[(enter[i] >= end) & (end < limit)]):  # a block was passed without meeting: follow
+                at, b, last = 0, int(np.searchsorted(of, t)), int(np.searchsorted(of, t, side="right")) - 1
+                base, here = b, int(start[b])
+                while True:
+                    at += int(run[end[b]] - run[here] + extra[i, b])
+                    if b == last or enter[i, b + 1] >= limit[b]:
+                        break
+                    here = int(enter[i, b + 1])
+                    b = base + (here - int(start[base])) // BLOCK
+                total[t, i] = at
+        return total, np.where(letters > 0, size, 0)
+
+    def _parse(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin [language, character] and last states [language, block], each block parsed on its own."""
+        lang = np.arange(len(self.names))[:, None]
+        begins = np.zeros((len(lang), len(codes)), bool)
+        order = np.argsort(start - end, kind="stable")
+        at, width = start[order], (end - start)[order]
+        state = np.repeat(self.root[:, None], len(at), 1)
         for t in range(int(width[0]) if len(width) else 0):
             live = int(np.searchsorted(-width, -t, side="left"))
-            at = codes[start[:live] + t]
-            to = self.step[state[:, :live] * self.letters + np.minimum(at, self.letters - 1)]
-            if len(rare := np.flatnonzero(at >= self.letters)):
-                to[:, rare] = self._rare(state[:, rare], at[rare])
+            here = at[:live] + t
+            to = self._next(state[:, :live], codes[here], lang)
             ended = to < 0
-            count[:, :live] += ended
+            begins[:, here] = ended if t else True
             state[:, :live] = np.where(ended, -1 - to, to)
-        total = np.stack([np.bincount(of, weights=count[i], minlength=n) for i in range(k)], 1)
-        return total, np.where(letters > 0, size, 0)
+        out = np.empty_like(state)
+        out[:, order] = state
+        return begins, out
+
+    def _run_on(self, codes: np.ndarray, begins: np.ndarray, state: np.ndarray, at: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Goes on from each block's end to the first phrase that also begins in ``begins`` (or the text's end):
+        phrases begun before it, and its place, each [language, block]."""
+        k, m = state.shape
+        more, meet = np.zeros(k * m, np.int64), np.tile(limit, k)
+        pair, lang, state, at, limit = np.arange(k * m), np.repeat(np.arange(k), m), state.ravel(), np.tile(at, k), np.tile(limit, k)
+        while len(pair):
+            to = self._next(state, codes[at], lang)
+            ended = to < 0
+            met = ended & begins[lang, at]
+            meet[pair[met]] = at[met]
+            more[pair[ended & ~met]] += 1
+            at = at + 1
+            on = ~met & (at < limit)
+            pair, lang, state, at, limit = pair[on], lang[on], np.where(ended, -1 - to, to)[on], at[on], limit[on]
+        return more.reshape(k, m), meet.reshape(k, m)
 
 
 @lru_cache(maxsize=2)
@@ -216,6 +262,11 @@ def identify(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     return [p.names[b] if s else UND for b, s in zip(best, size, strict=True)], np.where(size > 0, score, 0.0).tolist()
 
 
+def _slice(model: Model) -> int:
+    """Bytes of text at once: a parse keeps a mark per character and language."""
+    return SLICE * 8 // max(8, len(model))
+
+
 SCHEMA = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -223,7 +274,7 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFram
     """id, lang_pred, score of every row of ``documents`` (key, text); nothing but the text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches, limit=_slice(model)):
             langs, scores = identify(model, [t or "" for t in batch.column(1).to_pylist()])
             yield batch_of(SCHEMA, id=batch.column(0), lang_pred=langs, score=scores)
 
@@ -241,7 +292,7 @@ def keep_known(documents: DataFrame, model: Model, text: str = "text") -> DataFr
     """The rows of ``documents`` whose text has a language, all columns unchanged; without a model, a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, SLICE):
+        for batch in slices(batches, text, _slice(model)):
             kept = known(model, [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             yield batch.filter(pa.array(kept, pa.bool_()))
 
