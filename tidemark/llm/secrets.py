@@ -2,12 +2,14 @@
 
 Base spans come from three patterns, leftmost and non-overlapping for each kind; a span is the whole
 match.  The tagger labels tokens B, I or O (secret begin, inside, outside) from their shape, their
-neighbours and a feature of the file, and Viterbi decodes the best labelling; spans of its secrets that
+neighbours and a feature of the file, and Viterbi decodes the best labelling; a token is inside only if it touches the one before; spans of its secrets that
 lie in no base span are added with kind ``crf``.  Base spans always stay.
 
 Tokens are runs of letters, digits and ``_ + / . -``, or runs of other characters outside white space.
-A text is decoded in consecutive blocks of ``BLOCK`` tokens, for many blocks at once; features look across
-block ends, labels start afresh there.  Whole texts are read, of any length.
+A text's labelling is the best one of the whole text, of any length.  A token is surely outside if any labelling
+gets better by setting it outside, by the weights of its own and its neighbours' labels; runs of
+other tokens between two such are decoded apart, many at once, which gives the same best labelling.  Of
+labellings with equal scores the one with more outside, then more begin, wins.
 
 Training: ``SNIPPETS`` seeded configuration lines, prose and decoys with known secrets, made here; no row
 of the corpus is used, so the model is the same for every input.
@@ -55,7 +57,7 @@ def base_spans(text: str) -> list[Span]:
 
 # Tokens and features
 
-BLOCK, HASHED = 128, 512
+HASHED = 512
 _LOWER, _UPPER, _DIGIT, _MARK, _OTHER, _WHITE = 1, 2, 4, 8, 16, 0
 _CLASS = np.full(0x3000, _OTHER, np.uint8)
 for _c in range(0x3000):
@@ -111,56 +113,84 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return index, starts - begin[of], ends - begin[of], offsets
 
 
-# The field: labels O, B, I; I follows only B or I
+def apart(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Tokens that do not touch the one before; those are never inside."""
+    gap = np.ones(len(starts), bool)
+    gap[1:] = starts[1:] != ends[:-1]
+    gap[offsets[:-1][np.diff(offsets) > 0]] = True
+    return gap
+
+
+# The field: labels O, B, I; I follows only B or I that it touches
 
 ALLOWED = np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]])
 FIRST = np.array([0, 0, -1e9])
 
 
-def _lanes(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of blocks of tokens, longest first."""
-    sizes = np.diff(offsets)
-    blocks = -(-sizes // BLOCK)
-    of = np.repeat(np.arange(len(sizes)), blocks)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    start = offsets[of] + k * BLOCK
-    width = np.minimum(BLOCK, offsets[of + 1] - start)
-    order = np.argsort(-width, kind="stable")
-    return start[order], width[order]
+def sure_outside(emission: np.ndarray, offsets: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Tokens that are outside in every best labelling: whatever the neighbours' labels are, begin or inside
+    is worse there.  An inside token that follows becomes a begin in the comparison."""
+    n = len(emission)
+    if not n:
+        return np.zeros(0, bool)
+    last = np.zeros(n, bool)
+    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    following = np.zeros(n)  # the next token as begin instead of inside
+    following[:-1] = emission[1:, 1] - emission[1:, 2]
+    after = min((move[1, c] - move[2, c] for c in range(3)), default=0.0)
+    sure = np.ones(n, bool)
+    for y in (1, 2):
+        before = min([move[a, 0] - move[a, y] for a in range(3) if move[a, y] > -1e8] + [0.0])
+        plain = min(move[0, 0] - move[y, 0], move[0, 1] - move[y, 1], 0.0)
+        inside = move[0, 1] - move[y, 2] + following + min(after, 0.0)
+        gain = emission[:, 0] - emission[:, y] + before + np.where(last, 0.0, np.minimum(plain, inside))
+        sure &= gain > 1e-6
+    return sure
 
 
 def viterbi(emission: np.ndarray, offsets: np.ndarray, move: np.ndarray) -> np.ndarray:
     """The best labels of all tokens (0 outside, 1 begin, 2 inside)."""
-    labels = np.zeros(len(emission), np.int8)
-    start, width = _lanes(offsets)
+    n = len(emission)
+    labels = np.zeros(n, np.int8)
+    if not n:
+        return labels
+    sure = sure_outside(emission, offsets, move)
+    first, last = np.zeros(n, bool), np.zeros(n, bool)
+    bounds = offsets[1:][np.diff(offsets) > 0]
+    first[offsets[:-1][np.diff(offsets) > 0]] = last[bounds - 1] = True
+    starts = np.flatnonzero(~sure & (first | np.concatenate(([True], sure[:-1]))))
+    ends = np.flatnonzero(~sure & (last | np.concatenate((sure[1:], [True])))) + 1
+    order = np.argsort(starts - ends, kind="stable")
+    start, width = starts[order], (ends - starts)[order]
     if not len(start):
         return labels
-    steps = int(width[0])
-    back = np.zeros((steps, len(start), 3), np.int8)
-    best = emission[start] + FIRST
-    for t in range(1, steps):
+    best = emission[start] + np.where(first[start][:, None], FIRST, move[0])
+    back = []
+    for t in range(1, int(width[0])):
         live = int(np.searchsorted(-width, -t, side="left"))
         through = best[:live, :, None] + move
-        back[t, :live] = through.argmax(1)
+        back.append(through.argmax(1).astype(np.int8))
         best[:live] = through.max(1) + emission[start[:live] + t]
+    best += np.where(last[start + width - 1][:, None], 0.0, move[:, 0])
     at = best.argmax(1).astype(np.int8)
-    for t in range(steps - 1, -1, -1):
+    for t in range(int(width[0]) - 1, -1, -1):
         live = int(np.searchsorted(-width, -t, side="left"))
         labels[start[:live] + t] = at[:live]
-        at[:live] = np.take_along_axis(back[t, :live], at[:live, None].astype(np.int64), 1)[:, 0]
+        if t:
+            at[:live] = np.take_along_axis(back[t - 1], at[:live, None].astype(np.int64), 1)[:, 0]
     return labels
 
 
-SNIPPETS, ROUNDS, SEED = 800, 40, 5
+SNIPPETS, ROUNDS, SEED = 1000, 40, 5
 #: Names before a secret, separators, and words of decoys.
 NAMES = "password passwd secret token api_key apikey access_key private_key auth client_secret credential pwd bearer signature".split()
 PLAIN_NAMES = "name size count color version date path host port user width limit region commit order phone mail card page".split()
 SYLLABLES = "the re ing er on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce ción ß ü ä é è mente keit schung heit tion eau llo ñ que aux".split()
 
 
-def _snippets() -> list[tuple[str, list[tuple[int, int]]]]:
+def snippets(seed: int = SEED) -> list[tuple[str, list[tuple[int, int]]]]:
     """Training texts with their secrets' spans."""
-    r = random.Random(SEED)
+    r = random.Random(seed)
     pick = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
     mixed, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
 
@@ -168,7 +198,13 @@ def _snippets() -> list[tuple[str, list[tuple[int, int]]]]:
         w = "".join(r.choice(SYLLABLES) for _ in range(r.choice((1, 1, 2, 2, 3, 4, 5, 7, 10))))
         return w.capitalize() if r.random() < 0.15 else w.upper() if r.random() < 0.08 else w
 
+    def punctuated() -> str:
+        parts = [pick(mixed, 2, 7) for _ in range(r.randint(3, 5))]
+        return "".join(p + r.choice("!@#$%^&*?~") for p in parts[:-1]) + parts[-1] + r.choice(("", "", "!", "#", "$"))
+
     def secret() -> str:
+        if r.random() < 0.3:  # secrets of several tokens
+            return r.choice((punctuated, punctuated, lambda: pick(mixed + "+/", 22, 62) + r.choice(("=", "==")), lambda: f"{word()}:{pick(mixed, 8, 20)}@{word()}.example.com"))()
         return r.choice((
             lambda: pick(hexes, 20, 64), lambda: pick(mixed, 20, 48), lambda: pick(mixed + "+/", 24, 64), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16, 16),
             lambda: r.choice(("ghp_", "glpat-", "sk_live_", "xoxb-")) + pick(mixed, 24, 40), lambda: pick(mixed, 16, 20), lambda: "eyJ" + pick(mixed, 20, 30) + "." + pick(mixed, 20, 40),
@@ -179,7 +215,9 @@ def _snippets() -> list[tuple[str, list[tuple[int, int]]]]:
             lambda: pick(string.digits, 1, 19), lambda: f"{word()}.{r.randint(1, 99)}@{word()}.example.com", lambda: f"+1 ({pick(string.digits, 3, 3)}) 555-{pick(string.digits, 4, 4)}",
             lambda: f"20{r.randint(10, 29)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}T{pick(string.digits, 2, 2)}:{pick(string.digits, 2, 2)}", lambda: "#" + pick(hexes, 6, 6),
             lambda: f"https://www.{word()}.com/{word()}/{word()}-{word()}_{r.randint(1, 9999)}.html", lambda: f"{word()}_{word()}_{word()}", lambda: f"v{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 99)}",
-            lambda: "".join(word() for _ in range(3)), lambda: r.choice("!?.|*&%$#-=") * r.randint(1, 60), lambda: f"{pick(string.digits, 1, 3)}.{pick(string.digits, 1, 3)}.{pick(string.digits, 1, 3)}.{pick(string.digits, 1, 3)}",
+            lambda: "".join(word() for _ in range(3)), lambda: r.choice("!?.|*&%$#-=") * r.randint(1, 60), lambda: f"{word()}&{word()}", lambda: f"{word()}!{word()}?", lambda: f"{word()}#{r.randint(1, 99)}",
+            lambda: f"{word()}({word()}, {r.randint(0, 99)})", lambda: f"{word()}={word()}&{word()}={r.randint(0, 9999)}", lambda: "$" + pick(string.digits, 1, 4) + "." + pick(string.digits, 2, 2), lambda: f"{pick(string.digits, 1, 2)}%", lambda: f"{word()}'{word()}",
+ lambda: f"{pick(string.digits, 1, 3)}.{pick(string.digits, 1, 3)}.{pick(string.digits, 1, 3)}.{pick(string.digits, 1, 3)}",
         ))()
 
     out = []
@@ -197,6 +235,8 @@ def _snippets() -> list[tuple[str, list[tuple[int, int]]]]:
                 text += r.choice(PLAIN_NAMES if r.random() < 0.8 else NAMES) + r.choice((" = ", "=", ": ")) + decoy()
             elif p < 0.42:
                 text += decoy()
+            elif p < 0.45:
+                text += " ".join([word()] * r.randint(3, 30))
             else:
                 text += " ".join(word() + r.choice(("", "", "", ",", ".")) for _ in range(r.randint(2, 12)))
             text += r.choice((" ", " ", "\n", ", "))
@@ -207,8 +247,9 @@ def _snippets() -> list[tuple[str, list[tuple[int, int]]]]:
 @lru_cache(maxsize=1)
 def trained() -> tuple[np.ndarray, np.ndarray]:
     """Emission weights [feature, label] and moves [label, label], by gradient ascent on the likelihood."""
-    made = _snippets()
+    made = snippets()
     index, starts, ends, offsets = features([t for t, _ in made])
+    gap = apart(starts, ends, offsets)
     gold = np.zeros(len(index), np.int64)
     for i, (_, spans) in enumerate(made):
         a, b = offsets[i], offsets[i + 1]
@@ -216,8 +257,8 @@ def trained() -> tuple[np.ndarray, np.ndarray]:
             inside = np.flatnonzero((starts[a:b] < e) & (ends[a:b] > s)) + a
             gold[inside] = 2
             gold[inside[:1]] = 1
-    start, width = _lanes(offsets)
-    steps, lanes = int(width[0]), len(start)
+    start, width = offsets[:-1], np.diff(offsets)
+    steps, lanes = int(width.max()), len(start)
     live = np.arange(steps)[:, None] < width
     at = np.where(live, start + np.arange(steps)[:, None], 0)
     weight, move = np.zeros((int(_OFFSETS[-1]), 3)), np.zeros((3, 3))
@@ -228,6 +269,7 @@ def trained() -> tuple[np.ndarray, np.ndarray]:
     np.add.at(pairs, (gold[at[:-1]][both], gold[at[1:]][both]), 1)
     for k in range(1, ROUNDS + 1):
         emission = weight[index].sum(1)
+        emission[gap, 2] = -1e9
         full = move + ALLOWED
         fore, aft = np.zeros((steps, lanes, 3)), np.zeros((steps, lanes, 3))
         fore[0] = emission[at[0]] + FIRST
@@ -261,6 +303,7 @@ def tagged_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list
     emission = np.zeros((len(index), 3))
     for f in range(index.shape[1]):
         emission += weight[index[:, f]]
+    emission[apart(starts, ends, offsets), 2] = -1e9
     labels = viterbi(emission, offsets, move)
     out: list[list[Span]] = [[] for _ in texts]
     hits = np.flatnonzero(labels)
@@ -273,13 +316,24 @@ def tagged_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list
     return out
 
 
+def outside(spans: list[Span], base: list[Span]) -> list[Span]:
+    """Those of ``spans`` that lie in no span of ``base``; both by start, so one pass over each."""
+    free, reach, at = [], -1, 0
+    for s in spans:
+        while at < len(base) and base[at][1] <= s[1]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach < s[2]:
+            free.append(s)
+    return free
+
+
 def all_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, by start and then kind."""
     out = []
     for text, more in zip(texts, tagged_spans(texts, model), strict=True):
         base = base_spans(text)
-        free = [s for s in more if not any(b[1] <= s[1] and s[2] <= b[2] for b in base)]
-        out.append((base, sorted(base + free, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))))
+        out.append((base, sorted(base + outside(more, base), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))))
     return out
 
 
