@@ -3,7 +3,8 @@
 ``sniff`` runs one Aho-Corasick automaton over the magic bytes of all known formats, lets a validator
 for each format confirm structure and length at every hit, corrects the declared type from what starts
 at offset 0, and carves confirmed media found further in.  Validators walk headers and chunk lengths;
-hits inside a carved medium are skipped.
+hits inside a carved medium are skipped.  End markers, and chains of chunks found broken, are remembered
+for each payload, so a payload full of false starts is read a bounded number of times.
 
 ``store_wav`` keeps a payload as the samples of an 8-bit mono WAV file, byte for byte.
 
@@ -32,8 +33,39 @@ def _u32(b: bytes, at: int, order: str = "<") -> int:
     return struct.unpack_from(f"{order}I", b, at)[0] if at + 4 <= len(b) else -1
 
 
-def _wav(b: bytes, at: int) -> int:
+class Payload:
+    """A payload with what validators learned about it; they ask at rising offsets."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self._ends: dict[bytes, tuple[int, int]] = {}
+        self._broken: dict[str, set[int]] = {}
+
+    def find(self, marker: bytes, at: int) -> int:
+        """The first ``marker`` at ``at`` or after, -1 if there is none."""
+        asked, found = self._ends.get(marker, (0, at - 1))
+        if not (asked <= at and (found < 0 <= asked and marker in self._ends or found >= at)):
+            found = self.data.find(marker, at)
+            self._ends[marker] = (at, found)
+        return found
+
+    def walk(self, kind: str, places: Iterator[int]) -> int:
+        """The last of ``places`` that a chain of chunks visits (negative: broken); broken chains are not walked twice."""
+        broken, seen, p = self._broken.setdefault(kind, set()), [], -1
+        for p in places:
+            if p in broken:
+                p = -1
+            if p < 0:
+                break
+            seen.append(p)
+        if p < 0:
+            broken.update(seen)
+        return p
+
+
+def _wav(payload: Payload, at: int) -> int:
     """Length of a RIFF/WAVE file whose chunks fill it exactly, else 0."""
+    b = payload.data
     size = _u32(b, at + 4)
     if size < 4 or b[at + 8 : at + 12] != b"WAVE" or at + 8 + size > len(b):
         return 0
@@ -45,70 +77,100 @@ def _wav(b: bytes, at: int) -> int:
     return 8 + size if p == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(b: bytes, at: int) -> int:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        n, kind = _u32(b, p, ">"), b[p + 4 : p + 8]
-        if (first and (kind != b"IHDR" or n != 13)) or not kind.isalpha() or p + 12 + n > len(b):
-            return 0
-        p, first = p + 12 + n, False
-        if kind == b"IEND":
-            return p - at if zlib.crc32(b"IEND") == _u32(b, p - 4, ">") else 0
-    return 0
-
+def _png(payload: Payload, at: int) -> int:
+    b = payload.data
+    if b[at + 12 : at + 16] != b"IHDR" or _u32(b, at + 8, ">") != 13:
+        return 0
 
-def _gif(b: bytes, at: int) -> int:
+    def chunks() -> Iterator[int]:
+        p = at + 8
+        while p + 12 <= len(b):
+            n, kind = _u32(b, p, ">"), b[p + 4 : p + 8]
+            if not kind.isalpha() or p + 12 + n > len(b):
+                break
+            yield p
+            p += 12 + n
+            if kind == b"IEND":
+                if zlib.crc32(b"IEND") == _u32(b, p - 4, ">"):
+                    return
+                break
+        yield -1
+
+    last = payload.walk("png", chunks())
+    return last + 12 + _u32(b, last, ">") - at if last >= 0 else 0
+
+
+def _gif(payload: Payload, at: int) -> int:
+    b = payload.data
     if at + 13 > len(b):
         return 0
     colours = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    p = at + 13 + colours(b[at + 10])
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at
-        if b[p] == 0x2C and p + 10 < len(b):
-            p += 11 + colours(b[p + 9])
-        elif b[p] == 0x21:
-            p += 2
-        else:
-            return 0
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return 0
-
 
-def _jpeg(b: bytes, at: int) -> int:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        kind, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
-        if kind in (0x00, 0xFF, 0xD8) or n < 2:
-            return 0
-        p += 2 + n
-        if kind == 0xDA:  # entropy-coded data runs to the end marker
-            end = b.find(b"\xff\xd9", p)
-            return end + 2 - at if end >= 0 else 0
-    return 0
+    def blocks() -> Iterator[int]:
+        p = at + 13 + colours(b[at + 10])
+        while p < len(b):
+            yield p
+            if b[p] == 0x3B:
+                return
+            if b[p] == 0x2C and p + 10 < len(b):
+                p += 11 + colours(b[p + 9])
+            elif b[p] == 0x21:
+                p += 2
+            else:
+                break
+            while p < len(b) and b[p]:
+                p += b[p] + 1
+            p += 1
+        yield -1
+
+    last = payload.walk("gif", blocks())
+    return last + 1 - at if last >= 0 else 0
+
+
+def _jpeg(payload: Payload, at: int) -> int:
+    b = payload.data
+
+    def segments() -> Iterator[int]:
+        p = at + 2
+        while p + 4 <= len(b) and b[p] == 0xFF:
+            kind, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
+            if kind in (0x00, 0xFF, 0xD8) or n < 2:
+                break
+            yield p
+            p += 2 + n
+            if kind == 0xDA:
+                return
+        yield -1
+
+    last = payload.walk("jpeg", segments())
+    if last < 0:
+        return 0
+    # entropy-coded data runs to the end marker
+    end = payload.find(b"\xff\xd9", last + 2 + struct.unpack_from(">H", b, last + 2)[0])
+    return end + 2 - at if end >= 0 else 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(payload: Payload, at: int) -> int:
+    b = payload.data
     size, offset, header = _u32(b, at + 2), _u32(b, at + 10), _u32(b, at + 14)
     return size if header in (12, 40, 52, 56, 108, 124) and 14 + header <= offset <= size <= len(b) - at else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
+def _pdf(payload: Payload, at: int) -> int:
+    end, start = payload.find(b"%%EOF", at), payload.find(b"startxref", at)
+    return end + 5 - at if 0 <= start < end else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(payload: Payload, at: int) -> int:
+    b, end = payload.data, payload.find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, offset = _u32(b, end + 12), _u32(b, end + 16)
     return end + 22 + struct.unpack_from("<H", b, end + 20)[0] - at if at + offset + size == end else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip(payload: Payload, at: int) -> int:
+    b = payload.data
     unpack, p = zlib.decompressobj(31), at
     try:
         while p < len(b) and not unpack.eof:
@@ -119,8 +181,9 @@ def _gzip(b: bytes, at: int) -> int:
     return min(p, len(b)) - len(unpack.unused_data) - at if unpack.eof else 0
 
 
-def _flac(b: bytes, at: int) -> int:
+def _flac(payload: Payload, at: int) -> int:
     """Metadata blocks must be whole and begin with stream information; audio runs to the end."""
+    b = payload.data
     p, first = at + 4, True
     while p + 4 <= len(b):
         n = int.from_bytes(b[p + 1 : p + 4], "big")
@@ -132,7 +195,8 @@ def _flac(b: bytes, at: int) -> int:
     return 0
 
 
-def _ogg(b: bytes, at: int) -> int:
+def _ogg(payload: Payload, at: int) -> int:
+    b = payload.data
     p = at
     while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
         k = b[p + 26]
@@ -143,7 +207,7 @@ def _ogg(b: bytes, at: int) -> int:
 
 
 #: Media type, magic bytes, validator.
-FORMATS: tuple[tuple[str, bytes, Callable[[bytes, int], int]], ...] = (
+FORMATS: tuple[tuple[str, bytes, Callable[[Payload, int], int]], ...] = (
     ("audio/wav", b"RIFF", _wav),
     ("image/png", b"\x89PNG\r\n\x1a\n", _png),
     ("image/gif", b"GIF87a", _gif),
@@ -171,10 +235,10 @@ def _automaton():
 
 def find_media(data: bytes) -> list[tuple[int, int, str]]:
     """Confirmed media as (offset, length, type), by offset, not nested; text never confirms."""
-    out, end = [], 0
+    out, end, payload = [], 0, Payload(data)
     for last, (kind, n, check) in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - n
-        if at >= end and (length := check(data, at)):
+        if at >= end and (length := check(payload, at)):
             out.append((at, length, kind))
             end = at + length
     return out
@@ -253,3 +317,17 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id AS doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
         f"concat(type, ';rate={RATE};bits=8;channels=1;corrected=', corrected, ';embedded=', array_join(transform(carved, c -> concat(c.type, '@', c.offset, '+', c.length)), ',')) AS feature",
     )
+
+
+#: The stored form is a WAV header of 44 bytes before the payload; texts hold no other media, so nothing is carved.
+SQL = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, greatest(64, (octet_length(b) + 63) // 64 * 64)::BIGINT AS m, b FROM t),
+q AS (SELECT doc_id, n, m, b || unhex(repeat('00', (m - n)::INT)) AS pay FROM p),
+le AS (SELECT *, lambda_x FROM (SELECT *, hex(pay) AS h, [36 + m, m] AS sizes FROM q) s, LATERAL (SELECT list_transform(s.sizes, lambda v: format('{:02X}{:02X}{:02X}{:02X}', v & 255, (v >> 8) & 255, (v >> 16) & 255, (v >> 24) & 255)) AS lambda_x) x),
+w AS (SELECT doc_id, n, m, pay, right(h, 128) AS tail, unhex('52494646' || lambda_x[1] || '57415645666D742010000000' || '01000100' || '401F0000' || '401F0000' || '01000800' || '64617461' || lambda_x[2]) || pay AS media FROM le),
+c AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, 64), lambda i: ('0x' || substr(tail, (2 * i + 1)::INT, 2))::BIGINT)),
+  lambda a, v: list_reduce(list_concat([xor(a, v)], list_transform(range(0, 8), lambda k: 0::BIGINT)), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc FROM w)
+SELECT doc_id, n::BIGINT AS n_bytes, m AS payload_bytes, sha256(pay) AS payload_sha256, crc::BIGINT AS tail_crc32, (m + 44)::BIGINT AS media_bytes, sha256(media) AS media_sha256,
+  'audio/wav;rate=8000;bits=8;channels=1;corrected=true;embedded=' AS feature FROM c
+"""

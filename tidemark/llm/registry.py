@@ -15,7 +15,6 @@ def queries() -> dict:
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
-        "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     }
 
 
@@ -23,6 +22,7 @@ def oracle_sql() -> dict:
     return {
         "op2_ngram_jaccard_join": jaccard.SQL,
         "op3_substring_dedup": substrings.SQL,
+        "op4_media_columns": media.SQL,
         "op8_chat_formatting": chat.SQL,
         "op10_embedding_near_dedup": embeddings.SQL,
     }
