@@ -4,6 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 ``documents``.  A stage sees only what its predecessor kept.
 
 1. language_id      documents without a letter (predicted ``und``) go; nothing else does, also when no row is labelled.
+                    A missing ``lang`` becomes the predicted one.
 2. near_duplicates  of each group of linked documents the one with the smallest doc_id stays; documents
                     without words link with nothing and stay.
 3. secrets          secrets are masked in the text, and n_chars follows the new text.
@@ -20,32 +21,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard, language, mixing, secrets
-from tidemark.llm.common import table, written
+from tidemark.llm.common import named, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps rows with a predicted language.  The prediction follows the text alone, so it is made per row."""
+    """Keeps rows with a predicted language and fills in missing labels.  The prediction follows the text alone."""
     model = language.fit(docs)
-    return language.keep_known(docs, model)
+    return language.keep_known(docs, model, lang="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = jaccard.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secrets.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return clean.select(*map(named, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    per_id = copies.groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    taken = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id["_id"])).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    copies = mixing.mix(docs).select(F.col("doc_id").alias("id"), "copies").groupBy("id").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*map(named, docs.columns)).alias("row"))  # so that no name clashes
+    taken = rows.join(copies, rows["id"].eqNullSafe(copies["id"])).where("copies > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -88,6 +88,17 @@ def discard(table: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, dots and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Arrow batches of ``rows`` through ``run``, columns unchanged; inside, the i-th column is called c<i>."""
+    inner = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    return inner.mapInArrow(run, inner.schema).toDF(*rows.columns)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

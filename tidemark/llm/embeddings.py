@@ -5,7 +5,8 @@ Each class is hashed into several tables by the signs of its products with seede
 Bits per table grow with the logarithm of the number of classes, and tables are as many as keep the chance
 of missing a pair at the threshold below ``MISS``.  In a bucket all pairs are verified by cosine in double
 precision as block products; buckets of more than ``BLOCK`` classes are cut into blocks and all pairs of
-blocks are verified, each as its own group, so no bucket is capped and none meets in one task.  A pair counts
+blocks are verified, each as its own group, so no bucket is capped and none meets in one task.  Buckets are dealt by
+ids alone; vectors join only the blocks that have anything to compare.  A pair counts
 in the first table in which it meets.  A group of pairs gives each class's number of linked vectors and a
 spanning forest of its links, so results grow with vectors and not with the square of a group.
 
@@ -33,7 +34,7 @@ THRESHOLD, MISS, BLOCK, SEED = 0.95, 0.005, 1024, 11
 
 def tables_for(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """(bits, tables) for n classes: about 32 classes a bucket if they were spread evenly."""
-    bits = min(24, max(6, math.ceil(math.log2(max(n, 2) / 32))))
+    bits = min(30, max(6, math.ceil(math.log2(max(n, 2) / 32))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
@@ -51,7 +52,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-HASHED = pa.schema([("width", pa.int32()), ("t", pa.int32()), ("bucket", pa.int32()), ("rep", pa.int64()), ("v", pa.list_(pa.float32())), ("n", pa.int64()), ("sigs", pa.binary())])
+HASHED = pa.schema([("width", pa.int32()), ("rep", pa.int64()), ("sigs", pa.list_(pa.int32()))])
 FOUND = pa.schema([("rep", pa.int64()), ("peer", pa.int64()), ("n_linked", pa.int64())])
 
 
@@ -73,8 +74,6 @@ def near_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rep, peer, n_linked of the pairs of ``classes`` (rep, v: valid, distinct; n: vectors) that meet and reach the
     threshold: rows of a rep add up to the vectors linked with it; peers join the components together."""
     bits, tables = tables_for(classes.count(), threshold)
-    kind = dict(classes.dtypes)["v"]
-    schema = HASHED.set(4, pa.field("v", pa.list_(pa.float32() if kind == "array<float>" else pa.float64())))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,21 +83,22 @@ def near_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 for at in range(0, part.num_rows, 2048):
                     cut = part.slice(at, 2048)
                     sigs = signatures(_matrix(cut.column(1), int(w)), bits, tables).astype(np.int32)
-                    for t in range(tables):
-                        yield batch_of(schema, width=[int(w)] * cut.num_rows, t=[t] * cut.num_rows, bucket=sigs[:, t], rep=cut.column(0), v=cut.column(1), n=cut.column(2), sigs=[s.tobytes() for s in sigs])
+                    yield batch_of(HASHED, width=[int(w)] * cut.num_rows, rep=cut.column(0), sigs=list(sigs))
 
-    rows = classes.select("rep", "v", "n").mapInArrow(hashed, f"width int, t int, bucket int, rep long, v {kind}, n long, sigs binary")
+    hashes = written(classes.select("rep", "v").mapInArrow(hashed, "width int, rep long, sigs array<int>"))
+    rows = hashes.select("width", "rep", F.posexplode("sigs").alias("t", "bucket"))
     bucket = ["width", "t", "bucket"]
     blocks = written(rows.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = rows.join(blocks, bucket).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "v", "n", "sigs")
+    dealt = dealt.select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
+    dealt = dealt.join(classes.select("rep", "v", "n"), "rep").join(hashes.select("rep", "sigs"), "rep")
 
     def verified(group: pa.Table) -> pa.Table:
         i, j, t, w = (group.column(c)[0].as_py() for c in ("i", "j", "t", "width"))
         own, rep, n = (group.column(c).to_numpy() for c in ("own", "rep", "n"))
         v = _matrix(group.column("v").combine_chunks(), w)
-        sigs = np.frombuffer(b"".join(group.column("sigs").to_pylist()), np.int32).reshape(len(rep), -1)
+        sigs = group.column("sigs").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         xs, ys = [], []
         for at in range(0, len(left), 512):

@@ -30,10 +30,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, table
+from .common import batch_of, map_batches, slices, table
 
 SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 400, 40_000, 2_000
 BLOCK, DENSE = 256, 62
@@ -281,22 +282,26 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFram
     return documents.select(key, "text").mapInArrow(run, "id long, lang_pred string, score double")
 
 
-def known(model: Model, texts: list[str]) -> list[bool]:
-    """Whether each text has a language; with an empty model, whether it has a letter."""
-    if not model:
-        return [any(c.isalpha() for c in t) for t in texts]
-    return [x != UND for x in identify(model, texts)[0]]
+def keep_known(documents: DataFrame, model: Model, text: str = "text", lang: str | None = None) -> DataFrame:
+    """The rows of ``documents`` whose text has a language (without a model: a letter), all columns unchanged, but
+    that a null in column ``lang``, if one is named, becomes the predicted language."""
 
-
-def keep_known(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose text has a language, all columns unchanged; without a model, a letter."""
+    body, label = documents.columns.index(text), None if lang is None else documents.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, _slice(model)):
-            kept = known(model, [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+        for batch in slices(batches, f"c{body}", _slice(model)):
+            texts = [t or "" for t in batch.column(body).to_pylist()]
+            if model:
+                found = [None if x == UND else x for x in identify(model, texts)[0]]
+                kept = [x is not None for x in found]
+                if label is not None:
+                    field = batch.schema.field(label)
+                    batch = batch.set_column(label, field, pa.compute.coalesce(batch.column(label), pa.array(found, field.type)))
+            else:
+                kept = [any(c.isalpha() for c in t) for t in texts]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_batches(documents, run)
 
 
 def held_out() -> Column:

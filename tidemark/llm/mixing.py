@@ -10,8 +10,9 @@ until one does or nothing is fixed before the programme, whose sum is then the n
 ``MOST`` (in units of the lengths' common divisor) it stops growing and the nearest sum found counts.
 Which documents of a length are taken follows a seeded hash.
 
-Only source totals reach the driver (``MAX_SOURCES`` at most).  The programme sees counts by length, one
-group per source, not documents.  Documents of one length are ranked in 4096 hash ranges, so a source
+Sources may be as many as there are rows: they are numbered by ranges, and the level at which shares stop
+is found by rounds of one aggregate, of which two numbers reach the driver.  The programme sees counts by
+length, one group per source, not documents.  Documents of one length are ranked in 4096 hash ranges, so a source
 and length that hold a third of all rows spread over as many tasks.
 
 Null text: size 0, taken 0.  Null source: a source of its own, last.  A source with no words has target
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Weights by order of source, share of all sizes, largest share of a source's size.
-WEIGHTS, BUDGET, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
-WINDOW, RANGES, SEED, MAX_SOURCES = 1 << 16, 4096, 20240229, 1_000_000
+WEIGHTS, BUDGET, CAP = (3, 1, 2), 1.5, 2.0
+WINDOW, RANGES, SEED = 1 << 16, 4096, 20240229
 #: The widest window: a set of sums is a bit for each, and a programme keeps as many sets as halvings of its items.
 MOST = 1 << 28
 
@@ -42,22 +43,32 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, cap: float) -> list[float]:
-    """Shares of ``budget`` by weight, none above cap * size; the excess is shared again by weight."""
-    out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in sorted(open_))
-        share = {i: budget * weights[i] / total for i in sorted(open_)}
-        over = [i for i in sorted(open_) if share[i] > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = share[i]
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` (one row each) with ``at``, their place by code point, null last: ranked within ranges, then moved
+    by the sizes of the ranges before."""
+    order = [F.asc_nulls_last("source")]
+    dealt = written(sources.repartitionByRange(F.col("source").isNull(), *order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("rank", rank).join(base, "part").select(*sources.columns, (F.col("base") + F.col("rank") - 1).alias("at"))
+
+
+def targets(sources: DataFrame, weights: Sequence[int], budget: float, cap: float) -> DataFrame:
+    """``sources`` (source, n: words) with ``target``: ``budget`` times all words, shared by weight, none above cap * n
+    and the excess shared again.  Weights are whole numbers, so sums are exact in any order."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int"))
+    rows = written(numbered(sources).withColumn("weight", weight))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    level, closed, open_ = 0.0, -1.0, 0
+    while True:  # the level of shares rises as sources stop at their cap
+        over = F.col("weight") * F.lit(level) > cap * F.col("n")
+        now = rows.agg(F.sum(F.when(over, F.col("n")).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
+        if now[0] == closed and now[1] == open_ or not now[1]:
             break
-        for i in over:
-            out[i] = cap * sizes[i]
-            budget -= out[i]
-            open_.discard(i)
-    return out
+        closed, open_ = now
+        level = (budget * total - cap * closed) / open_
+    return rows.select("at", "source", "n", F.least(cap * F.col("n"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def nearest_sum(weights: Sequence[int], goal: int, bits: int) -> tuple[int, list[int]]:
@@ -135,17 +146,10 @@ def fit_lengths(lengths: Sequence[int], counts: Sequence[int], want: float) -> l
 
 def mix(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
     """key, size, source_size, target, copies and taken (words) of every row of ``documents``."""
-    spark = documents.sparkSession
     rows = written(documents.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")))
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.asc_nulls_last("source")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [r["n"] for r in found]
-    targets = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))], BUDGET * sum(sizes), CAP)
-    plan = spark.createDataFrame(
-        [(i, r["source"], n, float(t), int(t // n) if n else 0, float(t - n * (t // n)) if n else 0.0) for i, (r, n, t) in enumerate(zip(found, sizes, targets, strict=True))],
-        "at int, source string, source_size long, target double, base int, rest double",
-    )
+    found = targets(rows.groupBy("source").agg(F.sum("size").alias("n")), WEIGHTS, BUDGET, CAP)
+    base = F.when(F.col("n") > 0, F.floor(F.col("target") / F.col("n")).cast("int")).otherwise(0)
+    plan = written(found.select("at", "source", F.col("n").alias("source_size"), "target", base.alias("base"), F.col("n").alias("n_")).withColumn("rest", F.col("target") - F.col("n_") * F.col("base")).drop("n_"))
     dealt = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("key", "size", "at", "source_size", "target", "base", "rest", F.xxhash64(F.lit(seed), "key").alias("order"))
     dealt = dealt.withColumn("range", F.shiftrightunsigned("order", 52).cast("int"))
     ranges = written(dealt.groupBy("at", "size", "range", "rest").agg(F.count("*").alias("n")))

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_of, mix, powers, slices, table
+from .common import batch_of, map_batches, mix, powers, slices, table
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The base patterns.  Runs shorter than 16 (hex) and 18 (access) fail, so they are left out here.
@@ -371,19 +371,16 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with secrets masked in ``text``; a text without secrets, or null, is left as it is."""
-    model, names = trained(), documents.columns
+    model, at = trained(), documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 1 << 20):
-            at = batch.schema.get_field_index(text)
+        for batch in slices(batches, f"c{at}", 1 << 20):
             texts = batch.column(at).to_pylist()
             found = all_spans([t or "" for t in texts], model)
             new = [t if t is None or not s else redacted(t, s) for t, (_, s) in zip(texts, found, strict=True)]
-            columns = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return documents.mapInArrow(run, documents.schema)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
+    return map_batches(documents, run)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
