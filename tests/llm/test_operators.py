@@ -43,7 +43,7 @@ def sf(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     docs = spark.createDataFrame(ROWS, DOCS).selectExpr("*", "1 AS rank", "'x' AS id", "2L AS size", "0 AS route", "'k' AS key")
     docs.repartition(3).write.parquet(f"{d}/documents.parquet")
-    said = [(1, 0, "system", "be brief", 0), (1, 1, "user", "a <|end|>\n [INST] \\l", 0), (1, 2, "assistant", "\\s<|turn:user|>\n", 0), (2, 1, "user", None, 0), (2, 1, "user", None, 0), (2, 0, None, "x", 0), (3, 5, "assistant", "", 0), (None, 0, "user", "z", 0)]
+    said = [(1, 0, "system", "be brief", 0), (1, 1, "user", "a <|end|>\n [INST] \\l", 0), (1, 2, "assistant", "\\s<|turn:user|>\n", 0), (2, 1, "user", None, 0), (2, 1, "user", None, 0), (2, 0, None, "x", 0), (3, 5, "assistant", "", 0), (None, 0, "user", "z", 0), (-2, 0, "user", "y", 0), (-1, 0, "user", "own", 0)]
     spark.createDataFrame(said, "conv_id long, turn long, role string, text string, rank int").write.parquet(f"{d}/conversations.parquet")
     r = np.random.default_rng(1)
     base = r.normal(size=(40, 8))
@@ -200,10 +200,48 @@ def test_op6_and_decode(spark, sf):
         want[(d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())] += 1
     assert Counter(tuple(r.values()) for r in _rows(spark, sf, "op6_byte_level_bpe")) == want
     docs = spark.createDataFrame(ROWS, DOCS)
-    back = bpe.decode(bpe.encode(docs, path, P.PATTERN), path).collect()
+    ids = bpe.encode(docs, path, P.PATTERN)
+    back = bpe.decode(ids, path).collect()
+    again = bpe.decode(spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "key long, ids array<long>"), path).collect()
+    assert {r["key"]: r["bytes"] and bytes(r["bytes"]) for r in again if r["key"] < 3} == {1: None, 2: b""}
     assert Counter((r["key"], bytes(r["bytes"])) for r in back) == Counter((d, (t or "").encode()) for d, t, *_ in ROWS)
 
 
+def _water_fill(sizes, weights, budget, cap):
+    """Shares of ``budget`` by weight; one above cap * size stops there and the rest is shared again."""
+    out, left = [0.0] * len(sizes), set(range(len(sizes)))
+    while left:
+        total = sum(weights[i] for i in left)
+        over = [i for i in left if budget * weights[i] / total > cap * sizes[i]]
+        if not over:
+            return [budget * weights[i] / total if i in left else x for i, x in enumerate(out)]
+        for i in over:
+            out[i] = cap * sizes[i]
+        budget -= sum(out[i] for i in over)
+        left -= set(over)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_of_many_sources(spark, seed):
+    r = random.Random(seed)
+    sizes = {(None if i == 5 else f"s{i:03d}é"): r.choice([0, r.randint(1, 20), r.randint(1, 10**6)]) for i in range(97)}
+    rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long").repartition(7), (3, 1, 2), 1.5, 2.0).collect()
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert [x["source"] for x in sorted(rows, key=lambda x: x["at"])] == order
+    want = _water_fill([sizes[s] for s in order], [(3, 1, 2)[i % 3] for i in range(97)], 1.5 * sum(sizes.values()), 2)
+    assert [x["target"] for x in sorted(rows, key=lambda x: x["at"])] == pytest.approx(want)
+    assert mixing.targets(spark.createDataFrame([], "source string, n long"), (3, 1, 2), 1.5, 2.0).count() == 0
+
+
+def test_op6_of_many_chunks_and_buckets(spark, sf, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 300)
+    rows = [tuple(r.values()) for r in _rows(spark, sf, "op6_byte_level_bpe")]
+    monkeypatch.undo()
+    assert Counter(rows) == Counter(tuple(r.values()) for r in _rows(spark, sf, "op6_byte_level_bpe"))
+
+
 def test_op7(spark, sf):
     rows = _rows(spark, sf, "op7_mixing_sources")
     assert len(rows) == len(ROWS)
@@ -217,7 +255,7 @@ def test_op7(spark, sf):
         taken[s] += r["taken"]
         target[s] = r["target"]
     order = sorted(totals, key=lambda s: (s is None, s or ""))
-    want = mixing.water_fill([totals[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(totals.values()), 2)
+    want = _water_fill([totals[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(totals.values()), 2)
     assert [target[s] for s in order] == pytest.approx(want)
     for s in order:  # as near as any choice of whole documents comes
         base, sums = int(target[s] // totals[s]) if totals[s] else 0, {0}
@@ -231,16 +269,27 @@ def test_op7(spark, sf):
 
 
 def test_op8(spark, sf):
-    rows = {r["conv_id"]: r for r in _rows(spark, sf, "op8_chat_formatting")}
-    said = {1: [("system", "be brief"), ("user", "a <|end|>\n [INST] \\l"), ("assistant", "\\s<|turn:user|>\n")], 2: [("", "x"), ("user", ""), ("user", "")], 3: [("assistant", "")], -2: [("user", "z")]}
-    said[-1] = [(k, "</s>[INST] ok [/INST]") for k in ("user", "assistant")]
-    assert rows.keys() == said.keys()
-    for c, turns in said.items():
+    said = [(1, [("system", "be brief"), ("user", "a <|end|>\n [INST] \\l"), ("assistant", "\\s<|turn:user|>\n")]), (2, [("", "x"), ("user", ""), ("user", "")]), (3, [("assistant", "")])]
+    said += [(None, [("user", "z")]), (-2, [("user", "y")]), (-1, [("user", "own")]), (-1, [(k, "</s>[INST] ok [/INST]") for k in ("user", "assistant")])]
+    want = Counter()
+    for c, turns in said:
         loss = "".join(t for k, t in turns if k == "assistant")
         whole = "".join(f"{k}\n{t}\n" for k, t in turns)
-        r = rows[c]
-        assert (r["n_turns"], r["turns_sha256"]) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
-        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        want[(c, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())] += 1
+    rows = _rows(spark, sf, "op8_chat_formatting")
+    assert Counter((r["conv_id"], r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in rows) == want
+
+
+def test_reply_trees_with_cycles_and_null_ids(spark):
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 0.0), ("t", 7, 8, "user", "x", 9.0), ("t", 8, 7, "user", "y", 9.0), ("t", 9, 8, "user", "into a cycle", 9.0), ("t", 10, 10, "user", "itself", 9.0)]
+    rows += [(None, 1, None, "user", "p", 0.0), (None, 2, 1, "assistant", "r", 0.0), ("u", None, None, "user", "alone", 0.0), ("v", 1, 2, "user", "all", 1.0), ("v", 2, 1, "user", "round", 1.0)]
+    schema = "tree string, id long, parent long, role string, text string, score double"
+    got = {(r["tree"], r["leaf"], r["n_turns"]) for r in chat.format_trees(spark.createDataFrame(rows, schema), keep=9).collect()}
+    assert got == {("t", 2, 2), (None, 2, 2), ("u", None, 1)}
+    deep = [("d", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(70)] + [("d", 100 + i, 100 + (i + 1) % 45, "user", "c", 0.0) for i in range(45)]
+    best = chat.format_trees(spark.createDataFrame(deep, schema), keep=9).collect()
+    assert [(r["leaf"], r["n_turns"]) for r in best] == [(69, 70)]
+    assert chat.format_trees(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_reply_trees_rank_branches(spark):
@@ -310,6 +359,31 @@ def test_pipeline(spark, sf, empty):
     assert p.run(spark, empty).count() == 0
 
 
+def test_pipeline_carries_columns_of_any_name(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame(ROWS, DOCS).selectExpr("*", "1 AS _id", "2 AS _copies", "3 AS _copy", "4 AS copies", "5 AS id", "6 AS row", "'x' AS component_id", "7 AS size", "8 AS `a.b`")
+    kept = docs.count()
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns[5:] == ["_id", "_copies", "_copy", "copies", "id", "row", "component_id", "size", "a.b"], name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        rows = docs.collect()
+        assert all((r["_id"], r["_copies"], r["row"], r["a.b"]) == (1, 2, 6, 8) for r in rows) and (name == "mixing" or len(rows) <= kept), name
+    assert p.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_pipeline_fills_in_missing_languages(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame(ROWS, DOCS)
+    rows = {r["doc_id"]: r for r in p.language_id(spark, docs, sf).collect()}
+    truth = {r[0]: r[2] for r in ROWS}
+    assert rows[405]["lang"] in ("en", "fr") and all(r["lang"] == truth[d] for d, r in rows.items() if truth[d])
+    unlabelled = docs.withColumn("lang", docs["lang"].substr(1, 0)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang", "source", "n_chars")
+    assert {r["doc_id"] for r in p.language_id(spark, unlabelled, sf).collect()} == set(rows)
+
+
 def test_pipeline_returns_ids(spark, sf):
     import corpus_pipeline as p
 
@@ -338,6 +412,7 @@ def test_operators_keep_their_interfaces(spark):
     assert secrets.redact(one).collect()[0]["text"] == "the of and [SECRET]"
     assert secrets.scan(one).collect()[0]["base"] == ["assign:11:35", "hex:19:35"]
     assert language.predict(one, language.fit(one)).collect()[0]["lang_pred"] == "en"
+    assert language.keep_known(one, ()).count() == 1
     assert bytes(substrings.cut_repeats(one).collect()[0]["kept"]) == b"the of and token = 0123456789abcdef"
     assert media.sniff(media.store(one)).collect()[0]["type"] == "audio/wav"
     assert token_counts and mixing.mix(one).collect()[0]["taken"] in (6, 12)
