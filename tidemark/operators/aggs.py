@@ -112,7 +112,8 @@ def _ranked(k: int, order: Column, row: Column, seq: Column) -> Callable[[Projec
 
 
 def top_k_by(k: int, by: Column, row: Column, seq: Column) -> Agg:
-    """At most k rows, largest first, ties in arrival order."""
+    """At most k rows, largest first, ties in arrival order.  A group is put together before it is cut: for groups
+    whose size their window bounds; ``top_k_list`` cuts first and takes groups of any size."""
     return Agg(_ranked(k, -by, row, seq), False)
 
 
@@ -127,6 +128,12 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFra
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def top_k_list(df: DataFrame, keys: Sequence[str], k: int, row: Column, *order: Column, into: str = "top") -> DataFrame:
+    """``top_k`` as one row per key with a list, in order."""
+    best = top_k(df, keys, k, *order).select(*keys, "rank", row.alias("r"))
+    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"]).alias(into))
+
+
 def group_by(df: DataFrame, keys: Sequence[str], subkey: str, inner: dict[str, Agg], into: str = "groups") -> DataFrame:
     """Per key, the list of (subkey, inner results) by descending subkey; two levels of aggregation."""
     low = df.groupBy(*keys, subkey).agg(*both(**inner))

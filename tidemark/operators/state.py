@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,26 +21,58 @@ def dedup(df: DataFrame, keys: Sequence[str], ts: str, seq: str, cooldown: int)
     A row that arrives with an earlier time than the last passed one is dropped.
     """
     positive("cooldown", cooldown)
-    names = df.columns
-
-    def step(last, rows):
-        at = rows[ts].to_numpy()
-        keep = []
-        if np.all(at[1:] >= at[:-1]):  # in order: jump from one passing row to the next
-            i = 0 if last is None else int(np.searchsorted(at, last + cooldown, side="right"))
-            while i < len(at):
-                keep.append(i)
-                last = at[i]
-                i = int(np.searchsorted(at, last + cooldown, side="right"))
-        else:
-            for i, t in enumerate(at.tolist()):
-                if last is None or t - last > cooldown:
-                    keep.append(i)
-                    last = t
-        return last, list(rows.iloc[keep][names].itertuples(index=False, name=None))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return ordered_scan(df, keys, [seq], step, schema)
+    keys, names = list(keys), df.columns
+    at, rank = names.index(ts), [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None  # the key at the end of the batch before, and its last row that passed
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for k in rank:  # rows are sorted, so a key's rows are neighbours
+                codes = pa.compute.fill_null(batch.column(k).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], n)
+            time = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = tuple(batch.column(k)[0].as_py() for k in rank)
+            carried = last if first == current else None
+            keep, left = _passing(time, starts, ends, cooldown, carried)
+            current, last = tuple(batch.column(k)[n - 1].as_py() for k in rank), left
+            yield batch.filter(pa.array(keep))
+
+    dealt = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, seq)
+    return dealt.mapInArrow(run, df.schema)
+
+
+def _passing(time: np.ndarray, starts: np.ndarray, ends: np.ndarray, cooldown: int, carried: int | None) -> tuple[np.ndarray, int]:
+    """Rows that pass, all keys at once, one passing row of each a round; and the last key's last passing time.
+    ``carried`` is the first key's last passing time of the batch before."""
+    keep = np.zeros(len(time), bool)
+    # a time within a key counts from the running maximum: a row that isn't later than one before can't pass alone
+    key = np.repeat(np.arange(len(starts)), ends - starts)
+    low, high = int(time.min()), int(time.max())
+    span = high - low + cooldown + 2
+    top = np.maximum.accumulate((time - low) + key * span)  # rising within a key, and apart between keys
+    live, at = np.arange(len(starts)), starts.copy()
+    if carried is not None:
+        at[0] = np.searchsorted(top, min(max(carried - low, -cooldown - 1), span) + cooldown, side="right") if carried + cooldown >= low else starts[0]
+    last = np.zeros(len(starts), np.int64)
+    if carried is not None:
+        last[0] = carried
+    while True:
+        on = at[live] < ends[live]
+        live = live[on]
+        if not len(live):
+            break
+        here = at[live]
+        keep[here] = True
+        last[live] = time[here]
+        at[live] = np.searchsorted(top, (time[here] - low) + live * span + cooldown, side="right")
+    return keep, int(last[-1])
 
 
 def on_silence(df: DataFrame, keys: Sequence[str], ts: str, seq: str, within: int, has: Column | None = None, ttl: int | None = None) -> DataFrame:
@@ -67,18 +101,23 @@ def on_silence(df: DataFrame, keys: Sequence[str], ts: str, seq: str, within: in
     return out.select(*keys, "_x.kind", "_x.ts")
 
 
-def silence_age(df: DataFrame, marks: DataFrame, keys: Sequence[str], ts: str, seq: str, tick: int) -> DataFrame:
+def silence_age(df: DataFrame, marks: DataFrame, keys: Sequence[str], ts: str, seq: str, tick: int, width: int = 4096) -> DataFrame:
     """keys, ts, age: 0 at each event; at the first mark a tick or more after, the age, and so on each tick.
 
     ``marks`` (column ``wm``, with ``after_seq``: the arrival it follows) is the sequence of watermarks, spaced by
-    the caller's watermark interval; each mark is read by the keys whose last event came before it.
+    the caller's watermark interval; each mark is read by the keys whose last event came before it.  Spans meet
+    marks by ranges of ``width`` arrivals, so that no task compares all with all.
     """
     positive("tick", tick)
     order = Window.partitionBy(*keys).orderBy(seq)
+    end = marks.agg(F.max("after_seq").alias("_end"))
     until = F.coalesce(F.lead(seq).over(order), F.lit(1 << 62))
     last = F.max(ts).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     spans = df.select(*keys, F.col(seq).alias("_from"), until.alias("_until"), last.alias("_last"), F.col(ts).alias("_ts"))
-    hits = spans.join(marks, (marks["after_seq"] >= spans["_from"]) & (marks["after_seq"] < spans["_until"]) & (marks["wm"] >= spans["_last"] + tick))
+    in_range = F.floor(F.col("after_seq") / width).alias("_range")
+    covered = F.sequence(F.floor(F.col("_from") / width), F.floor((F.least("_until", F.col("_end") + 1) - 1) / width))
+    cut = spans.join(F.broadcast(end)).where("_from <= _end").withColumn("_range", F.explode(covered))
+    hits = cut.join(marks.select("wm", "after_seq", in_range), "_range").where(f"after_seq >= _from AND after_seq < _until AND wm >= _last + {tick}")
 
     def step(due, rows):
         out = []

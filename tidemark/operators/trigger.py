@@ -4,6 +4,10 @@ States: ok, pending_problem, problem, pending_ok.  A problem starts when ``check
 it ends when ``recovery`` holds for ``recovery_for``.  Ending withdraws the alert (R, at the alert's time)
 and adds a recovery (D).  Between the two conditions (hysteresis) a problem stays a problem, and a pending
 problem is dropped.
+
+Where check and recovery never hold together, the machine has a closed form (``of_stream``, ``combine``): every
+row says whether a run of checks, or a recovery after one, has lasted by now, and what changes the status
+is kept.  Streams, and conditions that overlap, run the machine itself.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ Predicate = Callable[[Column], Column]
 class Condition:
     check: Predicate
     recovery: Predicate
+    exclusive: bool = True
 
 
 def _complement(p: Predicate) -> Condition:
@@ -57,7 +62,7 @@ def is_none() -> Condition:
 
 
 def custom(check: Predicate, recovery: Predicate | None = None) -> Condition:
-    return _complement(check) if recovery is None else Condition(check, recovery)
+    return _complement(check) if recovery is None else Condition(check, recovery, exclusive=False)
 
 
 @dataclass(frozen=True)
@@ -134,12 +139,8 @@ class Machine:
 RESULT = "trigger string, severity string, kind string, status string, ts long, value double"
 
 
-def of_stream(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, trigger: Trigger, ttl: int | None = None) -> DataFrame:
-    """Changelog of alerts.  ``df`` has ``wm_before`` when the trigger debounces; the last watermark (the largest
-    time) also fires what is due.  Rows older than their key's last are dropped.  ``ttl`` forgets keys that are ok.
-    """
-    if ttl is not None:
-        positive("ttl", ttl)
+def _machine(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, trigger: Trigger, ttl: int | None) -> DataFrame:
+    """The state machine itself, row by row."""
     flag = lambda p: F.coalesce(p(F.col(value)), F.lit(False))
     wm = F.col("wm_before") if "wm_before" in df.columns else F.lit(None).cast("long")
     end = df.agg(F.max(ts).alias("_end"))
@@ -170,6 +171,63 @@ def of_stream(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str,
     return ordered_scan(rows, keys, ["_seq"], step, ", ".join([*[f"`{k}` {types[k]}" for k in keys], RESULT]), finish)
 
 
+def of_stream(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, trigger: Trigger, ttl: int | None = None) -> DataFrame:
+    """Changelog of alerts.  ``df`` has ``wm_before`` when the trigger debounces; the last watermark (the largest
+    time) also fires what is due.  Rows older than their key's last are dropped.  ``ttl`` forgets keys that are ok.
+    """
+    if ttl is not None:
+        positive("ttl", ttl)
+    if ttl is not None or not trigger.condition.exclusive:
+        return _machine(df, keys, ts, seq, value, trigger, ttl)
+    return changes(df, keys, ts, seq, value, [trigger]).drop("at")
+
+
+def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, triggers: Sequence[Trigger]) -> DataFrame:
+    """All ``triggers`` (of exclusive conditions) in one scan and one shuffle; ``at`` is when a row comes out.
+
+    A block is a run of checks with the rows up to the next run.  Its alert is due ``problem_for`` after the
+    run's first row, its recovery ``recovery_for`` after the first recovery in it; a row shows that it is over by
+    its own time or by the watermark it meets.  Of all that are over, those that change the status count.
+    """
+    flag = lambda p: F.coalesce(p(F.col(value)), F.lit(False))
+    wm = F.col("wm_before") if "wm_before" in df.columns else F.lit(None)
+    specs = [
+        F.struct(F.lit(t.name).alias("trigger"), F.lit(t.severity).alias("severity"), flag(t.condition.check).alias("check"), flag(t.condition.recovery).alias("rec"), F.lit(t.problem_for).cast("long").alias("pf"), F.lit(t.recovery_for).cast("long").alias("rf"))
+        for t in triggers
+    ]
+    rows = df.select(*keys, F.col(ts).cast("long").alias("_ts"), F.col(seq).alias("_seq"), F.col(value).cast("double").alias("_v"), wm.cast("long").alias("_wm"), (F.explode(F.array(*specs)) if len(specs) > 1 else specs[0]).alias("_s"))
+    rows = rows.select(*keys, "_ts", "_seq", "_v", "_wm", "_s.*").join(F.broadcast(df.agg(F.max(ts).cast("long").alias("_end"))))
+    part = [*keys, "trigger"]
+    order = Window.partitionBy(*part).orderBy("_seq")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_top", F.max("_ts").over(before)).where("_top IS NULL OR _ts >= _top")
+    rows = rows.withColumn("_was", F.coalesce(F.lag("check").over(order), F.lit(False)))
+    rows = rows.withColumn("_block", F.sum((F.col("check") & ~F.col("_was")).cast("int")).over(so_far))
+    rows = rows.withColumn("_since", F.last(F.when(F.col("check") & ~F.col("_was"), F.col("_ts")), ignorenulls=True).over(so_far))
+    rows = rows.withColumn("_held", F.last(F.when(F.col("check"), F.struct("_v")), ignorenulls=True).over(before))
+    block = Window.partitionBy(*part, "_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    recovers = F.col("rec") & ~F.col("check") & (F.col("_block") > 0)
+    rows = rows.withColumn("_rs", F.first(F.when(recovers, F.col("_ts")), ignorenulls=True).over(block)).withColumn("_rv", F.last(F.when(recovers, F.struct("_v")), ignorenulls=True).over(block))
+    rows = rows.withColumn("_prs", F.lag("_rs").over(order)).withColumn("_prv", F.lag("_rv").over(order)).withColumn("_last", F.lead("_seq").over(order).isNull())
+
+    none = F.lit(None).cast("struct<pos:int,status:string,ts:bigint,value:double>")
+    event = lambda pos, status, at, v: F.struct(F.lit(pos).alias("pos"), F.lit(status).alias("status"), at.alias("ts"), v.alias("value"))
+    due, rdue, prdue = F.col("_since") + F.col("pf"), F.col("_rs") + F.col("rf"), F.col("_prs") + F.col("rf")
+    found = F.array(
+        F.when(F.col("_was") & (F.col("_wm") >= due) & (F.col("pf") > 0), event(0, "problem", due, F.col("_held._v"))).when((F.col("_wm") >= prdue) & (F.col("rf") > 0), event(0, "ok", prdue, F.col("_prv._v"))).otherwise(none),
+        F.when(F.col("check") & (F.col("_ts") >= due), event(1, "problem", F.col("_ts"), F.col("_v"))).when(recovers & (F.col("_ts") >= rdue), event(1, "ok", F.col("_ts"), F.col("_v"))).otherwise(none),
+        F.when(F.col("_last") & F.col("check") & (F.col("_end") >= due), event(2, "problem", due, F.col("_v"))).when(F.col("_last") & ~F.col("check") & (F.col("_end") >= rdue), event(2, "ok", rdue, F.col("_rv._v"))).otherwise(none),
+    )
+    steps = rows.select(*part, "severity", "_seq", F.explode(F.array_compact(found)).alias("x")).select(*part, "severity", "_seq", "x.*")
+    order = Window.partitionBy(*part).orderBy("_seq", "pos")
+    kept = steps.withColumn("_before", F.coalesce(F.lag("status").over(order), F.lit("ok"))).where("status <> _before")
+    kept = kept.withColumn("_at", F.lag("ts").over(order)).withColumn("_av", F.lag("value").over(order))
+    out = lambda kind, status, at, v: F.struct(F.lit(kind).alias("kind"), status.alias("status"), at.alias("ts"), v.alias("value"))
+    here = out("D", F.col("status"), F.col("ts"), F.col("value"))
+    pieces = F.when(F.col("status") == "ok", F.array(out("R", F.lit("problem"), F.col("_at"), F.col("_av")), here)).otherwise(F.array(here))
+    return kept.select(*part, "severity", F.col("ts").alias("at"), F.explode(pieces).alias("y")).select(*part, "severity", "y.*", "at")
+
+
 def edges(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, trigger: Trigger) -> DataFrame:
     """A trigger without debounce inside the JVM, for rows whose times rise with ``seq``: keys, status, ts, value.
 
@@ -189,4 +247,8 @@ def combine(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, t
     """All triggers over one input."""
     if not triggers:
         raise ValueError("no triggers")
-    return reduce(DataFrame.unionByName, [of_stream(df, keys, ts, seq, value, t) for t in triggers])
+    if len({t.name for t in triggers}) < len(triggers):
+        raise ValueError("triggers need names of their own")
+    closed = [t for t in triggers if t.condition.exclusive]
+    parts = [changes(df, keys, ts, seq, value, closed).drop("at")] if closed else []
+    return reduce(DataFrame.unionByName, parts + [of_stream(df, keys, ts, seq, value, t) for t in triggers if not t.condition.exclusive])

@@ -31,12 +31,18 @@ def event_time(df: DataFrame, ts: str, lateness_ms: int) -> DataFrame:
 
 def running_before(df: DataFrame, value: Column, seq: str, into: str) -> DataFrame:
     """Adds the largest ``value`` over rows before this one by ``seq``, in two parallel passes."""
-    rows = df.withColumn("_range", F.floor(F.col(seq) / RANGE)).withColumn("_value", value)
-    tops = rows.groupBy("_range").agg(F.max("_value").alias("_top"))
+    return running_before_all(df, {into: value}, seq)
+
+
+def running_before_all(df: DataFrame, values: dict[str, Column], seq: str) -> DataFrame:
+    """``running_before`` of several values in the same passes."""
+    rows = df.withColumn("_range", F.floor(F.col(seq) / RANGE)).withColumns({f"_value_{n}": v for n, v in values.items()})
+    tops = rows.groupBy("_range").agg(*[F.max(f"_value_{n}").alias(f"_top_{n}") for n in values])
     prior = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_range", F.max("_top").over(prior).alias("_prior"))
-    local = F.max("_value").over(Window.partitionBy("_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.join(tops, "_range").withColumn(into, F.greatest("_prior", local)).drop("_range", "_value", "_prior")
+    tops = tops.select("_range", *[F.max(f"_top_{n}").over(prior).alias(f"_prior_{n}") for n in values])
+    local = Window.partitionBy("_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    found = {n: F.greatest(f"_prior_{n}", F.max(f"_value_{n}").over(local)) for n in values}
+    return rows.join(tops, "_range").withColumns(found).drop("_range", *[f"{p}_{n}" for n in values for p in ("_value", "_prior")])
 
 
 def with_wm_before(df: DataFrame, ts: str, seq: str, latency_ms: int = 0, into: str = "wm_before") -> DataFrame:
@@ -50,11 +56,15 @@ def idle_advance(df: DataFrame, ts: str, beats: DataFrame, into: str = "is_beat"
     return df.withColumn(into, F.lit(False)).unionByName(beats.select(F.col(ts)).withColumn(into, F.lit(True)), allowMissingColumns=True)
 
 
-def union_ordered(inputs: Sequence[DataFrame], ts: str, seq: str, into: str = "seq", bucket_ms: int = 3_600_000) -> DataFrame:
+def union_ordered(inputs: Sequence[DataFrame], ts: str, seq: str, into: str = "seq", bucket_ms: int | None = None) -> DataFrame:
     """All rows of the inputs with one arrival order ``into``: by running event time, then input, then seq.
 
-    An input that is not sorted keeps its own order, as merging by the heads of the inputs does.
+    An input that is not sorted keeps its own order, as merging by the heads of the inputs does.  Rows are numbered
+    by buckets of time; unless given, their width is such that one holds about ``RANGE`` rows.
     """
+    if bucket_ms is None:
+        low, high, n = reduce(DataFrame.unionByName, [d.select(F.col(ts).alias("t")) for d in inputs]).agg(F.min("t"), F.max("t"), F.count("t")).first()
+        bucket_ms = max(1, (high - low) * RANGE // n) if n else 1
     tagged = [running_before(d, F.col(ts), seq, "_before").withColumn("_head", F.greatest(ts, "_before")).withColumn("src", F.lit(i)) for i, d in enumerate(inputs)]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     both = both.withColumn("_seq", F.col(seq))
@@ -80,16 +90,12 @@ def merge_partitioned(inputs: Sequence[DataFrame], ts: str, seq: str, latency_ms
     if not inputs:
         raise ValueError("no inputs")
     not_negative("latency", latency_ms)
-    tagged = [d.withColumn("src", F.lit(i)).withColumn("_turn", F.row_number().over(Window.partitionBy("src").orderBy(seq))) for i, d in enumerate(inputs)]
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    turns = [numbered(d, F.floor(F.col(seq) / RANGE), [seq], "_turn").withColumn("src", F.lit(i)) for i, d in enumerate(inputs)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), turns)
     rows = numbered(both, F.floor(F.col("_turn") / RANGE), ["_turn", "src"], "seq")
-    last = rows.groupBy("src").agg(F.max("seq").alias("_last"))
-    lasts = {r["src"]: r["_last"] for r in last.collect()}
-    marks = []
-    for i in range(len(inputs)):
-        rows = running_before(rows, F.when(F.col("src") == i, F.col(ts)), "seq", f"_m{i}")
-        ended = F.col("seq") > lasts.get(i, -1)
-        marks.append((ended, F.col(f"_m{i}")))
+    lasts = {r["src"]: r["_last"] for r in rows.groupBy("src").agg(F.max("seq").alias("_last")).collect()}
+    rows = running_before_all(rows, {f"_m{i}": F.when(F.col("src") == i, F.col(ts)) for i in range(len(inputs))}, "seq")
+    marks = [(F.col("seq") > lasts.get(i, -1), F.col(f"_m{i}")) for i in range(len(inputs))]
     furthest = F.array_max(F.array(*[m for _, m in marks]))
     held = []
     for ended, m in marks:
