@@ -7,7 +7,7 @@ from tidemark.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: Queries whose results SQL does not express; the tests of their operators cover them.
-ROWS_ONLY = {"agg_approx_median", "trigger_debounce", "connectivity"}
+ROWS_ONLY = {"agg_approx_median"}
 
 
 @pytest.fixture(scope="module")

@@ -63,6 +63,35 @@ def keyed_join(inputs: Sequence[DataFrame], keys: Sequence[str], seq: str, ts: s
     return rows.select(*keys, F.col(seq).alias("seq"), F.col(ts).alias("ts"), "src", *[f"v{i}" for i in range(len(inputs))])
 
 
+def keyed_join_log(log: DataFrame, n: int, key: str, slot: str, value: str) -> DataFrame:
+    """Latest-value join of ``n`` inputs given as one changelog whose values have fields ``key``, ``slot`` (0..n-1: the
+    input) and ``value`` (not null).  D sets the slot; R clears it if it still holds that value, else nothing comes
+    out; U does both in one step, so readers never see the slot empty in between.  A correction that moves to
+    another key clears the one and sets the other."""
+    def act(of: str, sets: bool, says: Column) -> Column:
+        fields = [F.col(of)[key].alias("key"), F.col(of)[slot].cast("int").alias("slot"), F.col(of)[value].alias("v"), F.lit(sets).alias("sets"), says.alias("says")]
+        return F.struct(*fields)
+
+    old, new = F.col("old"), F.col("value")
+    moved = ~old[key].eqNullSafe(new[key])
+    other = moved | (old[slot] != new[slot])
+    set_, yes = act("value", True, F.lit(True)), F.lit(True)
+    steps = F.when(F.col("kind") == "R", F.array(act("value", False, yes))).when((F.col("kind") == "U") & old.isNotNull() & other, F.array(act("old", False, moved), set_)).otherwise(F.array(set_))
+    rows = log.select("seq", "ts", F.posexplode(steps).alias("step", "x")).select("seq", "ts", "step", "x.*")
+    order = Window.partitionBy("key").orderBy("seq", "step")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = F.lit(False)
+    for i in range(n):
+        mine = F.col("slot") == i
+        rows = rows.withColumn(f"_g{i}", F.count(F.when(mine & F.col("sets"), 1)).over(so_far)).withColumn(f"_s{i}", F.last(F.when(mine & F.col("sets"), F.struct("v")), ignorenulls=True).over(so_far))
+        hit = mine & ~F.col("sets") & F.coalesce(F.col(f"_s{i}.v").eqNullSafe(F.col("v")), F.lit(False)) & F.col(f"_s{i}").isNotNull()
+        held = Window.partitionBy("key", f"_g{i}").orderBy("seq", "step")
+        rows = rows.withColumn(f"_c{i}", F.count(F.when(hit, 1)).over(held.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        hits = hits | (hit & (F.col(f"_c{i}") == 1))
+    out = rows.where(F.col("says") & (F.col("sets") | hits))
+    return out.select(F.col("key").alias(key), "seq", "step", "ts", *[F.when(F.col(f"_c{i}") == 0, F.col(f"_s{i}.v")).alias(f"v{i}") for i in range(n)])
+
+
 def keyed_join_map(inputs: Sequence[DataFrame], keys: Sequence[str], seq: str, ts: str, value: str, keep: Column, *result: Column) -> DataFrame:
     """``keyed_join`` whose snapshots are filtered by ``keep`` and projected to ``result``."""
     return keyed_join(inputs, keys, seq, ts, value).where(keep).select(*keys, "seq", "ts", *result)

@@ -70,7 +70,10 @@ def split_late(df: DataFrame, ts: str, spec: TimeWindow, latency: int = 0, allow
     """(kept, late) per row and window; ``df`` has ``wm_before``.  Late rows came after their window was evicted."""
     not_negative("latency", latency)
     not_negative("allowed lateness", allowed_lateness)
-    rows = assign(df, ts, spec)
+    return _late_apart(assign(df, ts, spec), latency, allowed_lateness)
+
+
+def _late_apart(rows: DataFrame, latency: int, allowed_lateness: int) -> tuple[DataFrame, DataFrame]:
     late = F.coalesce(F.col("win_end") + latency + allowed_lateness <= F.col("wm_before"), F.lit(False))
     return rows.where(~late), rows.where(late)
 
@@ -89,25 +92,132 @@ def window_changes(
         raise ValueError("late_policy is drop or refire")
     kept, late = split_late(df, ts, spec, latency, allowed_lateness)
     cols = [*keys, "win_start", "win_end"]
+    out = _emitted(kept, cols, cols, seq, running, latency)
+    return out if late_policy == "drop" else out.unionByName(_emitted(late, cols, [*cols, "wm_before"], seq, running, None))
+
+
+def _emitted(rows: DataFrame, cols: Sequence[str], part: Sequence[str], seq: str, running: Callable[[WindowSpec], Column], latency: int | None) -> DataFrame:
+    """First firing and corrections of each group ``part``; without a latency each group fires once, at its end."""
+    order = Window.partitionBy(*part).orderBy(seq)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first_wm = F.coalesce(F.first("wm_before").over(so_far), F.lit(-(1 << 62)))
+    fired = F.lit(False) if latency is None else F.coalesce((F.col("wm_before") >= F.col("win_end") + latency) & (F.col("wm_before") > first_wm), F.lit(False))
+    rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_fired", fired)
+    rows = rows.withColumn("_first_fired", F.min(F.when(F.col("_fired"), F.col("_n"))).over(whole)).withColumn("_last", F.count("*").over(whole))
+    rows = rows.withColumn("value", running(so_far)).withColumn("old", running(before))
+    opens = F.col("_n") == F.coalesce(F.col("_first_fired") - 1, F.col("_last"))
+    kind = F.when(F.col("_n") >= F.col("_first_fired"), "U").when(opens, "D")
+    out = rows.withColumn("kind", kind).where("kind IS NOT NULL")
+    out = out.where(~((F.col("kind") == "U") & F.col("value").eqNullSafe(F.col("old"))))
+    return out.select(*cols, F.col(seq).alias("seq"), F.col("win_end").alias("ts"), "kind", "value", F.when(F.col("kind") == "U", F.col("old")).alias("old"))
+
+
+@dataclass(frozen=True)
+class Retractable:
+    """An aggregate that takes values out again: sums of ``parts`` of each value, put together by ``finish``; or with
+    ``multiset`` an aggregate of the values in the window, in order of arrival."""
+
+    parts: tuple[Callable[[Column], Column], ...]
+    finish: Callable[..., Column]
+    multiset: bool = False
+
+    def signed(self, kind: Column, value: Column, old: Column) -> list[Column]:
+        """What a D, R or U row adds to each sum, or the steps (adds, value) it takes on the multiset."""
+        if self.multiset:
+            step = lambda adds, v: F.struct(F.lit(adds).alias("adds"), self.parts[0](v).alias("v"))
+            return [F.when(kind == "R", F.array(step(False, value))).when((kind == "U") & old.isNotNull(), F.array(step(False, old), step(True, value))).otherwise(F.array(step(True, value)))]
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        return [F.when(kind == "R", -zero(f(value))).when((kind == "U") & old.isNotNull(), zero(f(value)) - zero(f(old))).otherwise(zero(f(value))) for f in self.parts]
+
+    def over(self, columns: Sequence[str], frame: WindowSpec | None) -> Column:
+        """The result over a frame that ends at the current row, or of a group (None)."""
+        total = lambda c: F.sum(c).over(frame) if frame is not None else F.sum(c)
+        if not self.multiset:
+            return self.finish(*map(total, columns))
+        if frame is not None:
+            steps = F.flatten(F.collect_list(columns[0]).over(frame))
+        else:
+            steps = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(columns[0]).alias("steps")))), lambda x: x["steps"]))
+        return self.finish(remaining(steps))
+
+
+def remaining(steps: Column) -> Column:
+    """The values left of steps (adds, v) in order; taking out removes the first equal value, if there is one."""
+    kept = F.transform(F.slice(steps, 1, 0), lambda x: x["v"])
+
+    def after(held: Column, step: Column) -> Column:
+        at = F.array_position(held, step["v"])
+        without = F.concat(F.slice(held, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), F.slice(held, (at + 1).cast("int"), F.size(held)))
+        return F.when(step["adds"], F.array_append(held, step["v"])).when(at > 0, without).otherwise(held)
+
+    return F.aggregate(steps, kept, after)
+
+
+def counted() -> Retractable:
+    return Retractable((lambda v: F.lit(1),), lambda n: n)
+
+
+def counted_if(p: Callable[[Column], Column]) -> Retractable:
+    return Retractable((lambda v: F.when(p(v), 1).otherwise(0),), lambda n: n)
+
+
+def summed(f: Callable[[Column], Column]) -> Retractable:
+    return Retractable((f,), lambda x: x)
+
+
+def averaged(f: Callable[[Column], Column]) -> Retractable:
+    return Retractable((f, lambda v: F.when(f(v).isNotNull(), 1).otherwise(0)), lambda x, n: F.when(n != 0, x / n))
+
+
+def listed(f: Callable[[Column], Column]) -> Retractable:
+    return Retractable((f,), lambda held: held, multiset=True)
+
+
+def middle(f: Callable[[Column], Column]) -> Retractable:
+    """The exact median of the values left."""
+
+    def median(held: Column) -> Column:
+        ordered, n = F.array_sort(held), F.size(held)
+        return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+    return Retractable((f,), median, multiset=True)
+
+
+def log_rows(log: DataFrame, keys: dict[str, Callable[[Column], Column]], spec: TimeWindow, retracts: bool = True) -> DataFrame:
+    """The rows of a changelog by key and window.  A withdrawal from a window that nothing has entered is passed
+    over, and a correction that comes first counts as its new value.  Without ``retracts`` withdrawals
+    are passed over and corrections count as their new values."""
+    rows = log.select(*[f(F.col("value")).alias(n) for n, f in keys.items()], *[c for c in log.columns if c not in keys])
+    if not retracts:
+        rows = rows.where("kind <> 'R'").withColumn("old", F.lit(None).cast(log.schema["old"].dataType))
+        return assign(rows, "ts", spec)
+    part = Window.partitionBy(*keys, "win_start", "win_end")
+    rows = assign(rows, "ts", spec).withColumn("_begun", F.min(F.when(F.col("kind") != "R", F.col("seq"))).over(part))
+    rows = rows.where("kind <> 'R' OR seq > _begun")
+    return rows.withColumn("old", F.when(F.col("seq") > F.col("_begun"), F.col("old"))).drop("_begun")
+
+
+def _with_parts(rows: DataFrame, aggs: dict[str, Retractable]) -> tuple[DataFrame, dict[str, list[str]]]:
+    names = {n: [f"_{n}_{i}" for i in range(len(a.parts))] for n, a in aggs.items()}
+    made = [c.alias(x) for n, a in aggs.items() for x, c in zip(names[n], a.signed(F.col("kind"), F.col("value"), F.col("old")), strict=True)]
+    return rows.select("*", *made), names
+
+
+def window_log(log: DataFrame, keys: dict[str, Callable[[Column], Column]], spec: TimeWindow, **aggs: Retractable) -> DataFrame:
+    """Final window results of a changelog (seq, ts, kind, value, old): one shuffle by key and window."""
+    rows, names = _with_parts(log_rows(log, keys, spec), aggs)
+    return rows.groupBy(*keys, "win_start", "win_end").agg(*[a.over(names[n], None).alias(n) for n, a in aggs.items()])
+
 
-    def emitted(rows: DataFrame, part: Sequence[str], by: str) -> DataFrame:
-        order = Window.partitionBy(*part).orderBy(seq)
-        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        first_wm = F.coalesce(F.first("wm_before").over(so_far), F.lit(-(1 << 62)))
-        fired = F.lit(False) if by == "late" else F.coalesce((F.col("wm_before") >= F.col("win_end") + latency) & (F.col("wm_before") > first_wm), F.lit(False))
-        rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_fired", fired)
-        rows = rows.withColumn("_first_fired", F.min(F.when(F.col("_fired"), F.col("_n"))).over(whole)).withColumn("_last", F.count("*").over(whole))
-        rows = rows.withColumn("value", running(so_far)).withColumn("old", running(before))
-        opens = F.col("_n") == F.coalesce(F.col("_first_fired") - 1, F.col("_last"))
-        kind = F.when(F.col("_n") >= F.col("_first_fired"), "U").when(opens, "D")
-        out = rows.withColumn("kind", kind).where("kind IS NOT NULL")
-        out = out.where(~((F.col("kind") == "U") & F.col("value").eqNullSafe(F.col("old"))))
-        return out.select(*cols, F.col(seq).alias("seq"), F.col("win_end").alias("ts"), "kind", "value", F.when(F.col("kind") == "U", F.col("old")).alias("old"))
-
-    out = emitted(kept, cols, "kept")
-    return out if late_policy == "drop" else out.unionByName(emitted(late, [*cols, "wm_before"], "late"))
+def window_log_changes(log: DataFrame, keys: dict[str, Callable[[Column], Column]], spec: TimeWindow, latency: int = 0, allowed_lateness: int = 0, **aggs: Retractable) -> DataFrame:
+    """Window results of a changelog as a changelog: late values, withdrawals and corrections each correct a
+    window that has fired in one step (U).  ``log`` has ``wm_before``; results are structs of ``aggs``."""
+    rows, names = _with_parts(log_rows(log, keys, spec), aggs)
+    running = lambda frame: F.struct(*[a.over(names[n], frame).alias(n) for n, a in aggs.items()])
+    kept, _ = _late_apart(rows.drop("kind", "value", "old"), latency, allowed_lateness)
+    return _emitted(kept, [*keys, "win_start", "win_end"], [*keys, "win_start", "win_end"], "seq", running, latency)
 
 
 def session_window(df: DataFrame, keys: Sequence[str], ts: str, gap: int, *aggregates: Column) -> DataFrame:

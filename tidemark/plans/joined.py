@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import hours
 from tidemark.operators import joins
-from tidemark.plans.base import EVENTS, ORDERS, events, orders, table
+from tidemark.plans.base import CORRECTED, EVENTS, ORDERS, corrected_log, events, orders, table
 
 
 def enrich_left(spark, d):
@@ -52,6 +52,14 @@ def keyed_join_alerts(spark, d):
     return joins.keyed_join_map(inputs, ["user_id"], "event_id", "ts", "value", keep & (total > 150), total.alias("total"))
 
 
+def keyed_join_changes(spark, d):
+    """Latest click and view of a log with withdrawals (some of them stale) and corrections that may change the slot."""
+    slots = lambda v: F.struct(v["user_id"].alias("user_id"), F.when(v["type"] == "click", 0).when(v["type"] == "view", 1).otherwise(2).alias("slot"), v["x"].alias("x"))
+    log = corrected_log(spark, d)
+    log = log.select("seq", "ts", "kind", slots(F.col("value")).alias("value"), F.when(F.col("kind") == "U", slots(F.col("old"))).alias("old"))
+    return joins.keyed_join_log(log, 3, "user_id", "slot", "x").select("user_id", "seq", "v0", "v1", "v2")
+
+
 def _versions(spark, d):
     """Orders as versions of their customers, moved to the days of the events."""
     o = orders(spark, d)
@@ -100,7 +108,7 @@ def co_process(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        enrich_left, table_build, table_build_ttl, update_table, keyed_join_latest, keyed_join_ttl, keyed_join_alerts, temporal_asof, temporal_snapshot, temporal_prune, suppress_alerts, co_process,
+        keyed_join_changes, enrich_left, table_build, table_build_ttl, update_table, keyed_join_latest, keyed_join_ttl, keyed_join_alerts, temporal_asof, temporal_snapshot, temporal_prune, suppress_alerts, co_process,
     )
 }
 
@@ -112,6 +120,11 @@ _LATEST = EVENTS + """, r AS (SELECT *, last_value(CASE WHEN event_type = 'click
 _VERSIONS = ORDERS + """, ver AS (SELECT o_custkey AS user_id, 1704067200000 + (o_ts % 2500000) * 1000 AS valid_from, o_orderkey AS version, o_totalprice FROM ord)"""
 
 SQL = {
+    "keyed_join_changes": f"""WITH RECURSIVE {CORRECTED}, a AS (SELECT *, CASE type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS sl, CASE old_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS old_sl, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM cl),
+g AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS seq, NULL::DOUBLE AS v0, NULL::DOUBLE AS v1, NULL::DOUBLE AS v2, false AS says FROM a WHERE n = 1
+  UNION ALL SELECT a.user_id, a.n, a.seq, """ + ", ".join(f"CASE WHEN kind = 'R' THEN CASE WHEN sl = {i} AND v{i} = x THEN NULL ELSE v{i} END WHEN sl = {i} THEN x WHEN kind = 'U' AND old_sl = {i} AND v{i} = old_x THEN NULL ELSE v{i} END" for i in range(3)) + """,
+    kind <> 'R' OR coalesce(CASE sl WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END = x, false) FROM g JOIN a ON a.user_id = g.user_id AND a.n = g.n + 1)
+SELECT user_id, seq, v0, v1, v2 FROM g WHERE says""",
     "enrich_left": "SELECT event_id, user_id, c_mktsegment, c_nationkey FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON user_id = c_custkey",
     "table_build": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "table_build_ttl": f"WITH {EVENTS}, l AS (SELECT *, max(ts) OVER () AS newest FROM ev) SELECT user_id, event_id, value FROM l QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND ts >= newest - 43200000",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import distance_from_rssi, hours, minutes, relative_change
+from tidemark.functions.scalar import distance_from_rssi, hours, minutes, relative_change, seconds
 from tidemark.operators import joins, state, trigger, watermark, windows
 from tidemark.operators.scan import ordered_scan
 from tidemark.plans.base import EVENTS, events, orders, table
@@ -94,19 +94,40 @@ def median_rssi(spark, d):
     return out.select("lamp", "win_end", "beacon", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-def connectivity_alerts(packets: DataFrame, keys: list[str], ts: str, seq: str, within: int, low_voltage: Column, silenced: Column) -> DataFrame:
-    """Lost and regained contact, low voltage unless the key is silenced, in one stream of (key, kind, ts)."""
-    log = watermark.with_wm_before(packets, ts, seq)
-    contact = state.on_silence(log, keys, ts, seq, within)
-    gate = F.when(silenced, "on").otherwise("off")
-    voltage = joins.suppress_while(packets, packets.where(low_voltage), keys, keys, ts, seq, gate)
-    once = state.dedup(voltage.select(*keys, ts, seq), keys, ts, seq, within)
-    return contact.unionByName(once.select(*keys, F.lit("low_voltage").alias("kind"), F.col(ts).alias("ts")))
+def connectivity_alerts(
+    packets: DataFrame, keys: list[str], ts: str, seq: str, *, readings: Column, moving: Column, voltage: Column, sos: Column,
+    no_packets: int = minutes(2), no_readings: int = minutes(5), no_motion: int = minutes(2), low: float = 3.5, fine: float = 3.7, hold: int = minutes(2), latency: int = seconds(1),
+) -> DataFrame:
+    """All alerts on a lamp: keys, alert, kind (D, or R for one withdrawn), ts.
+
+    Three absences (any packet, packets with ``readings``, packets while ``moving``), low ``voltage`` with hysteresis
+    once it has held for ``hold``, and each ``sos`` once.  While a lamp has no contact, motion and voltage are not known
+    and their alerts are held back; contact comes back with the next packet.
+    """
+    log = packets.select(*keys, F.col(ts).alias("ts"), F.col(seq).alias("seq"), readings.alias("readings"), moving.alias("moving"), voltage.cast("double").alias("voltage"), sos.alias("sos"))
+    log = watermark.with_wm_before(log, "ts", "seq", latency)
+    contact = state.on_silence(log, keys, "ts", "seq", no_packets)
+    absent = lambda within, has: state.on_silence(log, keys, "ts", "seq", within, has).where("kind = 'silent'").select(*keys, "ts")
+    made = lambda rows, alert: rows.select(*keys, F.lit(alert).alias("alert"), F.lit("D").alias("kind"), "ts", F.col("ts").alias("at"))
+    battery = trigger.Trigger("low_voltage", trigger.less_than_with_hysteresis(low, fine), "warning", problem_for=hold)
+    power = trigger.changes(log, keys, "ts", "seq", "voltage", [battery])
+    power = power.select(*keys, F.when(F.col("status") == "ok", "voltage_ok").otherwise("low_voltage").alias("alert"), "kind", "ts", "at")
+    held = made(absent(no_motion, F.col("moving")), "no_motion").unionByName(power).withColumn("order", F.when(F.col("kind") == "R", 0).otherwise(1))
+    gate = F.when(F.col("kind") == "silent", "on").otherwise("off")
+    contact_at = contact.select(*keys, "kind", F.col("ts").alias("at"), F.when(F.col("kind") == "silent", 0).otherwise(1).alias("order"))
+    known = joins.suppress_while(contact_at, held, keys, keys, "at", "order", gate)
+    alone = made(contact.where("kind = 'silent'"), "no_packets").unionByName(made(absent(no_readings, F.col("readings")), "no_readings"))
+    urgent = made(log.where("sos").dropDuplicates([*keys, "ts"]), "sos")
+    return alone.unionByName(urgent).unionByName(known.drop("order")).drop("at")
 
 
 def connectivity(spark, d):
     e = events(spark, d).select("event_id", "user_id", "event_type", "value", "ts")
-    return connectivity_alerts(e, ["user_id"], "ts", "event_id", hours(24), F.col("value") < 1, F.col("event_type") == "error")
+    kind = F.col("event_type")
+    return connectivity_alerts(
+        e, ["user_id"], "ts", "event_id", readings=kind != "error", moving=kind.isin("click", "view", "purchase"), voltage=F.col("value"), sos=kind == "signup",
+        no_packets=hours(24), no_readings=hours(36), no_motion=hours(24), low=20.0, fine=40.0, hold=hours(6), latency=minutes(1),
+    )
 
 
 #: Gas levels that warn and that evacuate.
@@ -179,7 +200,25 @@ QUERIES = {
 
 _BIDS = EVENTS + ", b AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS auction, user_id AS bidder, value AS price, ts FROM ev)"
 
+from tidemark.plans.stateful import DEBOUNCE  # noqa: E402
+
+
+def _silent(name: str, has: str, within: int) -> str:
+    """SQL: CTEs that end in ``name``: user_id, kind, ts of a silence detector over the log with watermarks ``w``."""
+    return f"""{name}_k AS (SELECT user_id, wm, max(ts) OVER p AS last, lead(ts) OVER p AS nts, CASE WHEN lead(event_id) OVER p IS NULL THEN fin ELSE lead(wm) OVER p END AS nwm FROM w WHERE {has} WINDOW p AS (PARTITION BY user_id ORDER BY event_id)),
+{name}_s AS (SELECT * FROM {name}_k WHERE nwm >= last + {within} AND (wm IS NULL OR nwm > wm)),
+{name} AS (SELECT user_id, 'silent' AS kind, last + {within} AS ts FROM {name}_s UNION ALL SELECT user_id, 'resumed', nts FROM {name}_s WHERE nts IS NOT NULL)"""
+
+
 SQL = {
+    "connectivity": DEBOUNCE.format(events=EVENTS, key="user_id", value="value", latency=60000, check="value < 20", recovery="value > 40", pf=21600000, rf=0)
+    + f""", w AS (SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60000 AS wm, max(ts) OVER () AS fin FROM ev),
+{_silent("np", "true", 86400000)}, {_silent("nr", "event_type <> 'error'", 129600000)}, {_silent("nm", "event_type IN ('click', 'view', 'purchase')", 86400000)},
+held AS (SELECT user_id, 'no_motion' AS alert, 'D' AS kind, ts, ts AS at FROM nm WHERE kind = 'silent' UNION ALL SELECT k, CASE x.status WHEN 'ok' THEN 'voltage_ok' ELSE 'low_voltage' END, x.kind, x.ts, x.at FROM d),
+gates AS (SELECT user_id, ts AS at, kind FROM np)
+SELECT user_id, 'no_packets' AS alert, 'D' AS kind, ts FROM np WHERE kind = 'silent' UNION ALL SELECT user_id, 'no_readings', 'D', ts FROM nr WHERE kind = 'silent'
+UNION ALL SELECT DISTINCT user_id, 'sos', 'D', ts FROM ev WHERE event_type = 'signup'
+UNION ALL SELECT user_id, alert, kind, ts FROM held h WHERE coalesce((SELECT g.kind FROM gates g WHERE g.user_id = h.user_id AND g.at <= h.at ORDER BY g.at DESC, g.kind ASC LIMIT 1), 'resumed') <> 'silent'""",
     "fleet_alerts": f"""WITH RECURSIVE {EVENTS}, h AS (SELECT user_id, ts - ts % 3600000 + 3600000 AS ts, max(value) AS top, min(value) AS low, min(60.0 + c_nationkey) AS lim FROM ev LEFT JOIN customer ON user_id = c_custkey GROUP BY ALL),
 a AS (SELECT user_id, ts, 'speed' AS rule, CASE WHEN top > 1.3::DOUBLE * lim THEN 'critical' WHEN top > lim THEN 'warning' END AS severity FROM h UNION ALL SELECT user_id, ts, 'fuel', CASE WHEN low < 0.5 THEN 'critical' WHEN low < 2 THEN 'warning' END FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, rule ORDER BY ts) AS n FROM a WHERE severity IS NOT NULL),

@@ -104,7 +104,30 @@ QUERIES = {
     )
 }
 
+#: The debounced machine row by row: what is due by the watermark a row meets, then the row itself, then the end.
+DEBOUNCE = """WITH RECURSIVE {events}, z AS (SELECT {key} AS k, event_id, ts, ({value})::DOUBLE AS v, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {latency} AS wm, max(ts) OVER () AS fin,
+  coalesce({check}, false) AS chk, coalesce({recovery}, false) AS rec FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id) AS n, count(*) OVER (PARTITION BY k) AS cnt FROM z),
+g AS (SELECT k, 0::BIGINT AS n, 'ok' AS st, 0::BIGINT AS since, NULL::DOUBLE AS val, 0::BIGINT AS at, NULL::DOUBLE AS av, []::STRUCT(kind VARCHAR, status VARCHAR, ts BIGINT, value DOUBLE, "at" BIGINT)[] AS outs FROM r WHERE n = 1
+  UNION ALL SELECT k, n, CASE WHEN s1 = 'ok' AND chk THEN CASE WHEN {pf} = 0 THEN 'p' ELSE 'pp' END WHEN s1 = 'pp' THEN CASE WHEN NOT chk THEN 'ok' WHEN ts >= since + {pf} THEN 'p' ELSE 'pp' END
+      WHEN s1 = 'p' AND rec THEN CASE WHEN {rf} = 0 THEN 'ok' ELSE 'po' END WHEN s1 = 'po' THEN CASE WHEN chk THEN 'p' WHEN rec AND ts >= since + {rf} THEN 'ok' ELSE 'po' END ELSE s1 END,
+    CASE WHEN (s1 = 'ok' AND chk) OR (s1 = 'p' AND rec) THEN ts ELSE since END,
+    CASE WHEN (s1 IN ('ok', 'pp') AND chk) OR (s1 IN ('p', 'po') AND rec AND NOT (s1 = 'po' AND chk)) THEN v ELSE val END,
+    CASE WHEN (s1 = 'ok' AND chk AND {pf} = 0) OR (s1 = 'pp' AND chk AND ts >= since + {pf}) THEN ts ELSE at1 END, CASE WHEN (s1 = 'ok' AND chk AND {pf} = 0) OR (s1 = 'pp' AND chk AND ts >= since + {pf}) THEN v ELSE av1 END,
+    o1 || CASE WHEN (s1 = 'ok' AND chk AND {pf} = 0) OR (s1 = 'pp' AND chk AND ts >= since + {pf}) THEN [{{'kind': 'D', 'status': 'problem', 'ts': ts, 'value': v, 'at': ts}}]
+      WHEN (s1 = 'p' AND rec AND {rf} = 0) OR (s1 = 'po' AND rec AND NOT chk AND ts >= since + {rf}) THEN [{{'kind': 'R', 'status': 'problem', 'ts': at1, 'value': av1, 'at': ts}}, {{'kind': 'D', 'status': 'ok', 'ts': ts, 'value': v, 'at': ts}}] ELSE [] END
+  FROM (SELECT r.*, g.since, g.val, CASE WHEN g.st = 'pp' AND r.wm >= g.since + {pf} THEN 'p' WHEN g.st = 'po' AND r.wm >= g.since + {rf} THEN 'ok' ELSE g.st END AS s1,
+      CASE WHEN g.st = 'pp' AND r.wm >= g.since + {pf} THEN g.since + {pf} ELSE g.at END AS at1, CASE WHEN g.st = 'pp' AND r.wm >= g.since + {pf} THEN g.val ELSE g.av END AS av1,
+      CASE WHEN g.st = 'pp' AND r.wm >= g.since + {pf} THEN [{{'kind': 'D', 'status': 'problem', 'ts': g.since + {pf}, 'value': g.val, 'at': g.since + {pf}}}]
+        WHEN g.st = 'po' AND r.wm >= g.since + {rf} THEN [{{'kind': 'R', 'status': 'problem', 'ts': g.at, 'value': g.av, 'at': g.since + {rf}}}, {{'kind': 'D', 'status': 'ok', 'ts': g.since + {rf}, 'value': g.val, 'at': g.since + {rf}}}] ELSE [] END AS o1
+    FROM g JOIN r ON r.k = g.k AND r.n = g.n + 1)),
+e AS (SELECT g.k, outs || CASE WHEN st = 'pp' AND fin >= since + {pf} THEN [{{'kind': 'D', 'status': 'problem', 'ts': since + {pf}, 'value': val, 'at': since + {pf}}}]
+    WHEN st = 'po' AND fin >= since + {rf} THEN [{{'kind': 'R', 'status': 'problem', 'ts': g.at, 'value': av, 'at': since + {rf}}}, {{'kind': 'D', 'status': 'ok', 'ts': since + {rf}, 'value': val, 'at': since + {rf}}}] ELSE [] END AS outs FROM g JOIN r ON r.k = g.k AND r.n = g.n AND r.n = r.cnt
+  UNION ALL SELECT g.k, outs FROM g JOIN r ON r.k = g.k AND r.n = g.n AND r.n < r.cnt),
+d AS (SELECT k, unnest(outs) AS x FROM e)"""
+
 SQL = {
+    "trigger_debounce": DEBOUNCE.format(events=EVENTS, key="user_id", value="value", latency=0, check="value < 40", recovery="NOT value < 40", pf=21600000, rf=7200000)
+    + " SELECT k AS user_id, 'low_value' AS trigger, 'warning' AS severity, x.kind AS kind, x.status AS status, x.ts AS ts, x.value AS value FROM d",
     "dedup_cooldown": f"""WITH RECURSIVE {EVENTS}, r AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM ev),
 g AS (SELECT user_id, event_type, n, ts AS last, true AS keep FROM r WHERE n = 1
   UNION ALL SELECT r.user_id, r.event_type, r.n, CASE WHEN r.ts - g.last > 21600000 THEN r.ts ELSE g.last END, r.ts - g.last > 21600000 FROM g JOIN r ON r.user_id = g.user_id AND r.event_type = g.event_type AND r.n = g.n + 1)

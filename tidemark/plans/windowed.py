@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import hours, minutes
 from tidemark.operators import aggs, watermark, windows
-from tidemark.plans.base import EVENTS, SHUFFLED, events, shuffled_events
+from tidemark.plans.base import CORRECTED, EVENTS, SHUFFLED, corrected_log, events, shuffled_events
 
 _SQL_NUMBERS = "count(*) AS n, round(avg(value), 4) AS avg_value, max(value) AS max_value"
 
@@ -137,9 +137,29 @@ f AS (SELECT *, coalesce(wm >= win_end AND wm > wm1, false) AS fired FROM n),
 g AS (SELECT *, min(CASE WHEN fired THEN n END) OVER (PARTITION BY user_id, win_end) AS f1 FROM f),
 c AS (SELECT user_id, win_end, seq, CASE WHEN n >= f1 THEN 'U' WHEN n = coalesce(f1 - 1, last) THEN 'D' END AS kind, n AS value, CASE WHEN n >= f1 THEN n - 1 END AS old FROM g)"""
 
+def _retractable():
+    x = lambda v: v["x"]
+    return {"n": windows.counted(), "big": windows.counted_if(lambda v: v["x"] > 50), "total": windows.summed(x), "mean": windows.averaged(x), "mid": windows.middle(x)}
+
+
+def window_withdrawn(spark, d):
+    """Final daily windows of a log with withdrawals and corrections."""
+    out = windows.window_log(corrected_log(spark, d), {"user_id": lambda v: v["user_id"]}, windows.tumbling(hours(24)), **_retractable())
+    return out.select("user_id", "win_end", "n", "big", F.round("total", 3).alias("total"), F.round("mean", 3).alias("mean"), F.round("mid", 4).alias("mid"))
+
+
+def window_corrected(spark, d):
+    """The same as a changelog: rows that come after a window fired correct it in one step."""
+    log = watermark.with_wm_before(corrected_log(spark, d).withColumnRenamed("ts", "at").withColumnRenamed("arrived", "ts"), "ts", "seq").drop("ts").withColumnRenamed("at", "ts")
+    aggs_ = {k: v for k, v in _retractable().items() if k in ("n", "total")}
+    out = windows.window_log_changes(log, {"user_id": lambda v: v["user_id"]}, windows.tumbling(hours(24)), allowed_lateness=hours(72), **aggs_)
+    return out.select("user_id", "win_end", "seq", "kind", F.col("value.n").alias("n"), F.round("value.total", 3).alias("total"), F.col("old.n").alias("old_n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        window_withdrawn, window_corrected,
         tumbling_agg, sliding_agg, sliding_gap, window_list, session_agg, count_tumbling, count_sliding, global_count_trigger, global_value_trigger, agg_numbers, agg_median,
         agg_approx_median, agg_arg_max, agg_first_last, agg_top_k, agg_bottom_k, agg_to_list, agg_group_by, late_corrections, late_refire, late_rows,
     )
@@ -151,7 +171,27 @@ def _slid(size: int, step: int) -> str:
 SELECT user_id, win_start, win_start + {size} AS win_end, {_SQL_NUMBERS} FROM s WHERE ts < win_start + {size} GROUP BY user_id, win_start"""
 
 
+_CHANGED = CORRECTED + """, w AS (SELECT *, ts - ts % 86400000 + 86400000 AS win_end FROM cl),
+b AS (SELECT *, min(seq) FILTER (WHERE kind <> 'R') OVER (PARTITION BY user_id, win_end) AS begun FROM w),
+c AS (SELECT * REPLACE (CASE WHEN seq > begun THEN old_x END AS old_x) FROM b WHERE kind <> 'R' OR seq > begun)"""
+_SIGNED = "CASE WHEN kind = 'R' THEN -{f} WHEN kind = 'U' AND old_x IS NOT NULL THEN {f} - {g} ELSE {f} END"
+
 SQL = {
+    "window_withdrawn": f"""WITH {_CHANGED}, st AS (SELECT user_id, win_end, list(CASE WHEN kind = 'R' THEN [(false, x)] WHEN old_x IS NOT NULL THEN [(false, old_x), (true, x)] ELSE [(true, x)] END ORDER BY seq) AS steps,
+sum({_SIGNED.format(f="1", g="1")}) AS n, sum({_SIGNED.format(f="(x > 50)::INT", g="(old_x > 50)::INT")}) AS big, sum({_SIGNED.format(f="x", g="old_x")}) AS total FROM c GROUP BY ALL),
+fl AS (SELECT user_id, win_end, unnest(flatten(steps)) AS s FROM st),
+nu AS (SELECT user_id, win_end, s[2] AS v, s[1] AS adds, row_number() OVER () AS i FROM fl),
+h AS (SELECT user_id, win_end, v, greatest(0, max(run) - 0) AS top, last(run ORDER BY i) AS left_ FROM (SELECT *, sum(CASE WHEN adds THEN 1 ELSE -1 END) OVER (PARTITION BY user_id, win_end, v ORDER BY i) AS run FROM nu) GROUP BY ALL),
+lo AS (SELECT user_id, win_end, v, min(run) AS low, last(run ORDER BY i) AS fin FROM (SELECT *, sum(CASE WHEN adds THEN 1 ELSE -1 END) OVER (PARTITION BY user_id, win_end, v ORDER BY i) AS run FROM nu) GROUP BY ALL),
+kept AS (SELECT user_id, win_end, unnest(list_transform(range(0, (fin - least(low, 0))::BIGINT), lambda k: v)) AS v FROM lo),
+m AS (SELECT user_id, win_end, median(v) AS mid FROM kept GROUP BY ALL)
+SELECT user_id, win_end, n::BIGINT AS n, big::BIGINT AS big, round(total, 3) AS total, round(CASE WHEN n <> 0 THEN total / n END, 3) AS mean, round(mid, 4) AS mid FROM st LEFT JOIN m USING (user_id, win_end)""",
+    "window_corrected": f"""WITH {_CHANGED}, g AS (SELECT seq, max(ts) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM sh),
+k AS (SELECT c.*, g.wm FROM c JOIN g USING (seq) WHERE NOT coalesce(win_end + 259200000 <= wm, false)),
+f AS (SELECT *, row_number() OVER p AS i, coalesce(wm >= win_end AND wm > coalesce(first_value(wm) OVER p, -1), false) AS fired, sum({_SIGNED.format(f="1", g="1")}) OVER p AS n, sum({_SIGNED.format(f="x", g="old_x")}) OVER p AS total FROM k WINDOW p AS (PARTITION BY user_id, win_end ORDER BY seq)),
+q AS (SELECT *, min(CASE WHEN fired THEN i END) OVER (PARTITION BY user_id, win_end) AS ff, max(i) OVER (PARTITION BY user_id, win_end) AS fin, lag(n) OVER o AS old_n, lag(total) OVER o AS old_total FROM f WINDOW o AS (PARTITION BY user_id, win_end ORDER BY seq))
+SELECT user_id, win_end, seq, CASE WHEN i >= ff THEN 'U' ELSE 'D' END AS kind, n::BIGINT AS n, round(total, 3) AS total, CASE WHEN i >= ff THEN old_n END::BIGINT AS old_n
+FROM q WHERE (i >= ff AND (n <> old_n OR total <> old_total)) OR (i = coalesce(ff - 1, fin))""",
     "tumbling_agg": f"WITH {EVENTS} SELECT user_id, ts - ts % 21600000 AS win_start, ts - ts % 21600000 + 21600000 AS win_end, {_SQL_NUMBERS} FROM ev GROUP BY ALL",
     "sliding_agg": _slid(43_200_000, 10_800_000),
     "sliding_gap": f"WITH {EVENTS} SELECT user_id, ts - ts % 18000000 AS win_start, ts - ts % 18000000 + 7200000 AS win_end, {_SQL_NUMBERS} FROM ev WHERE ts % 18000000 < 7200000 GROUP BY ALL",
