@@ -43,7 +43,8 @@ def main() -> None:
         from tidemark.plans.pipelines import connectivity_alerts
         from pyspark.sql import functions as F
 
-        timed("mine_connectivity", lambda: connectivity_alerts(packets.select("lamp", "seq", "ts", "voltage", "sos"), ["lamp"], "ts", "seq", 100_000, F.col("voltage") < 3.35, F.col("sos")), n)
+        say = {"readings": F.size("readings") > 0, "moving": F.col("moving"), "voltage": F.col("voltage"), "sos": F.col("sos")}
+        timed("mine_connectivity", lambda: connectivity_alerts(packets, ["lamp"], "ts", "seq", **say), n)
         packets.unpersist()
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": seconds, "events_per_sec": rates, "sf": Path(sf_dir).name}))

@@ -23,7 +23,10 @@ def beacons(spark: SparkSession, horizons: int = 16, per: int = 64) -> DataFrame
 
 
 def packets(spark: SparkSession, horizons: int = 16, lamps: int = 256, beacons_per: int = 64, minutes: int = 60, step_s: int = 15, heard: int = 5) -> DataFrame:
-    """lamp, seq, ts, voltage, sos, readings: array of (beacon, rssi); late and doubled packets included."""
+    """lamp, seq, ts, voltage, moving, sos, readings: array of (beacon, rssi); late and doubled packets included.
+
+    By a hash of the lamp a tenth stop sending after a third of the time, a twentieth hear no beacon after a sixth, a
+    fifth stand still after half, a third have a low battery and one in a hundred presses SOS at a quarter."""
     side, n = math.ceil(math.sqrt(lamps)), minutes * 60 // step_s
     grid = spark.range(horizons * lamps).select((F.col("id") / lamps).cast("int").alias("h"), (F.col("id") % lamps).cast("int").alias("i"), F.col("id").alias("lamp"))
     grid = grid.select("h", "lamp", (F.col("i") % side * 25.0).alias("lx"), ((F.col("i") / side).cast("int") * 25.0).alias("ly"))
@@ -34,7 +37,11 @@ def packets(spark: SparkSession, horizons: int = 16, lamps: int = 256, beacons_p
     quiet = F.pmod(F.hash("lamp"), F.lit(100)) < 10
     rows = steps.where(~(quiet & (F.col("s") > n // 3)))
     reading = F.transform("near", lambda b: F.struct(b["beacon"].alias("beacon"), (-40.0 - 20.0 * F.log10(b["d"]) + (F.pmod(F.xxhash64("lamp", "s", b["beacon"]), F.lit(600)) - 300) / 100.0).alias("rssi")))
-    rows = rows.select("lamp", (F.col("s") * step_s * 1000).cast("long").alias("ts"), (4.0 - (F.pmod(F.hash("lamp"), F.lit(7)) == 0).cast("int") * 0.7).alias("voltage"), (F.col("r") == 7).alias("sos"), "r", reading.alias("readings"))
+    flag = lambda salt, percent: F.pmod(F.hash("lamp", F.lit(salt)), F.lit(100)) < percent
+    reading = F.when(flag(1, 5) & (F.col("s") > n // 6), F.slice(reading, 1, 0)).otherwise(reading)
+    volts = F.when(flag(3, 30), 3.3 - 0.05 * F.pmod("lamp", F.lit(3))).otherwise(4.0).alias("voltage")
+    moving, sos = ~(flag(2, 20) & (F.col("s") > n // 2)), flag(4, 1) & (F.col("s") == n // 4)
+    rows = rows.select("lamp", (F.col("s") * step_s * 1000).cast("long").alias("ts"), volts, moving.alias("moving"), sos.alias("sos"), "r", reading.alias("readings"))
     copies = F.when(F.col("r") < 30, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("copy", F.explode(copies))
     late = F.when((F.col("r") >= 970) | (F.col("copy") == 1), 1_500_000).otherwise(0)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import distance_from_rssi, hours, minutes, relative_change, seconds
-from tidemark.operators import joins, state, trigger, watermark, windows
+from tidemark.operators import changelog, joins, process, state, trigger, watermark, windows
 from tidemark.operators.scan import ordered_scan
-from tidemark.plans.base import EVENTS, events, orders, table
+from tidemark.plans.base import EVENTS, SHUFFLED, events, orders, shuffled_events, table
 
 
 def fleet_alerts(spark, d):
@@ -175,8 +175,6 @@ def composite_alerts(spark, d):
 
 def presence(spark, d):
     """Who is where: sign-ups enter, errors leave, others move; the final map from the changelog."""
-    from tidemark.operators import changelog
-
     e = events(spark, d)
     kind = F.when(F.col("event_type") == "error", "R").otherwise("D")
     value = F.struct("user_id", F.col("event_type").alias("zone"))
@@ -191,10 +189,114 @@ def relative_moves(spark, d):
     return rows.where(relative_change(F.col("value"), F.col("was")) > 0.9).select("event_id", "value", "was")
 
 
+def sensor_average(spark, d):
+    """Bad readings out, then the mean per sensor and window."""
+    rows = events(spark, d).where(F.abs(F.col("value") - 999.0) > 1e-9)
+    return windows.window_agg(rows, ["user_id"], "ts", windows.tumbling(hours(12)), F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("n"))
+
+
+def limit_alerts(spark, d):
+    """Readings over the limit of their sensor, repeats held back; sensors without a limit give none."""
+    limits = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("user_id"), (F.lit(40.0) + F.col("c_nationkey")).alias("limit"))
+    over = joins.enrich(events(spark, d).select("user_id", "event_id", "ts", "value"), limits, ["user_id"]).where("value > limit")
+    return state.dedup(over, ["user_id"], "ts", "event_id", hours(48)).select("user_id", "event_id", "limit")
+
+
+def _mine(spark, d):
+    """People (sign-ups and views) and gas (clicks) in one order, with the zone of their horizon and the limit in force.
+
+    Limits come from a stream of settings: the last purchase of the user sets it, an error withdraws nothing."""
+    e = events(spark, d)
+    people, gas_ = e.where("event_type IN ('signup', 'view')"), e.where("event_type = 'click'")
+    cols = ["user_id", "event_id", "event_type", "value", "ts"]
+    log = watermark.union_ordered([people.select(*cols), gas_.select(*cols)], "ts", "event_id", into="seq")
+    changes = e.where("event_type IN ('purchase', 'error')").select("user_id", F.col("value").alias("limit"), F.when(F.col("event_type") == "error", "R").otherwise("D").alias("kind"), "event_id")
+    base = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.lit(50.0).alias("limit"))
+    limits = joins.update_table(base, changes, ["user_id"], "event_id")
+    zones = table(spark, d, "customer").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("zone")), "c_nationkey").select(F.col("c_custkey").alias("user_id"), "zone")
+    return joins.enrich(joins.enrich(log, zones, ["user_id"]), limits, ["user_id"])
+
+
+def mine_monitor(spark, d):
+    """Four branches of one enriched stream: mean gas over its limit, critical gas at once, sessions of people, batches of readings."""
+    log = _mine(spark, d)
+    gas_, people = log.where("event_type = 'click'"), log.where("event_type <> 'click'")
+    mean = windows.window_agg(gas_, ["user_id"], "ts", windows.tumbling(hours(24)), F.avg("value").alias("mean"), F.max("limit").alias("limit")).where("mean > limit")
+    over = state.dedup(mean.select("user_id", "win_end", "mean"), ["user_id"], "win_end", "win_end", hours(72))
+    critical = state.dedup(gas_.where("value > 100").select("user_id", "seq", "ts", "zone"), ["user_id"], "ts", "seq", hours(12))
+    sessions = windows.session_window(people, ["user_id"], "ts", hours(12), F.count("*").alias("n"))
+    batches = windows.trigger_count(gas_, ["user_id"], "seq", 2, F.max("ts").alias("ts"), F.count("*").alias("n"))
+    row = lambda df, branch, ts, detail: df.select(F.lit(branch).alias("branch"), "user_id", F.col(ts).alias("ts"), detail.cast("string").alias("detail"))
+    parts = [row(over, "mean", "win_end", F.lit("over")), row(critical, "critical", "ts", F.coalesce("zone", F.lit("?"))), row(sessions, "session", "session_end", F.col("n")), row(batches, "batch", "ts", F.col("n"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def depot_metrics(spark, d):
+    """Bad rows apart, then per depot and window the mean speed, the least charge and how many are low, corrected by late rows."""
+    raw = shuffled_events(spark, d).select("seq", "ts", (F.col("user_id") % 7).alias("depot"), F.when(F.col("event_id") % 19 == 0, "bad").otherwise(F.col("value").cast("string")).alias("charge"), "value")
+    good, _ = changelog.safe_split(raw, parsed=F.expr("try_cast(charge AS double)"))
+    log = watermark.with_wm_before(good.select("seq", "ts", "depot", "value"), "ts", "seq", minutes(1))
+    log = changelog.from_rows(log.select("seq", "ts", "depot", "value"), "ts", "seq").join(log.select("seq", "wm_before"), "seq")
+    x = lambda v: v["value"]
+    least = windows.Retractable((x,), lambda held: F.array_min(held), multiset=True)
+    out = windows.window_log_changes(
+        log, {"depot": lambda v: v["depot"]}, windows.tumbling(hours(6)), allowed_lateness=hours(6), speed=windows.averaged(x), charge=least, low=windows.counted_if(lambda v: v["value"] < 5)
+    )
+    return out.select("depot", "win_end", "seq", "kind", F.round("value.speed", 3).alias("speed"), "value.charge", "value.low")
+
+
+def depot_totals(spark, d):
+    """Running totals per depot of the readings that parse (what exactly-once runs keep)."""
+    rows = events(spark, d).where("event_id % 19 <> 0").withColumn("depot", F.col("user_id") % 7)
+    return rows.groupBy("depot").agg(F.round(F.sum("value"), 3).alias("total"), F.count("*").alias("n"))
+
+
+def gas_topology(spark, d):
+    """Two partitions merged, then an alarm branch and a dashboard branch."""
+    e = events(spark, d).select("event_id", "user_id", "value", "ts")
+    merged = watermark.merge_partitioned([e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1")], "ts", "event_id")
+    alarms = merged.where("value >= 100").select(F.lit("alarm").alias("branch"), "user_id", "ts", F.round("value", 4).alias("value"))
+    board = windows.window_agg(merged, ["user_id"], "ts", windows.tumbling(hours(24)), F.round(F.avg("value"), 3).alias("value"))
+    return alarms.unionByName(board.select(F.lit("dashboard").alias("branch"), "user_id", F.col("win_end").alias("ts"), "value"))
+
+
+def lamp_pipelines(spark, d):
+    """Three queries over one source: low voltage with a cool-down, lost contact, smoothed distance."""
+    e = events(spark, d).select("event_id", "user_id", "value", "ts")
+    low = state.dedup(e.where("value < 3.2"), ["user_id"], "ts", "event_id", hours(24)).select(F.lit("voltage").alias("query"), "user_id", "ts", F.round("value", 4).alias("value"))
+    lost = state.on_silence(watermark.with_wm_before(e, "ts", "event_id"), ["user_id"], "ts", "event_id", hours(30)).where("kind = 'silent'")
+    middle = windows.window_agg(e, ["user_id"], "ts", windows.sliding(hours(24), hours(12)), F.median(-40.0 - F.pmod("value", F.lit(40.0))).alias("rssi"))
+    near = middle.select(F.lit("distance").alias("query"), "user_id", F.col("win_end").alias("ts"), F.round(distance_from_rssi(F.col("rssi")), 4).alias("value"))
+    return low.unionByName(lost.select(F.lit("contact").alias("query"), "user_id", "ts", F.lit(None).cast("double").alias("value"))).unionByName(near)
+
+
+def timed_process(spark, d):
+    """A keyed process with timers on a changelog: a user's level, closed a day after its last change; withdrawals lower it."""
+    value = F.struct("user_id", F.col("value").alias("x"))
+    e = watermark.with_wm_before(events(spark, d), "ts", "event_id")
+    kind = F.when(F.col("event_type") == "error", "R").otherwise("D")
+    log = e.select("user_id", F.col("event_id").alias("seq"), "ts", kind.alias("kind"), value.alias("value"), F.lit(None).cast("struct<user_id:bigint,value:double>").alias("old"), "wm_before")
+
+    def changed(by):
+        def on(ctx, key, held, v):
+            held["n"] = max(0, held["n"] + by)
+            held["timer"].reschedule(ctx, ctx.ts + 86_400_000)
+
+        return on
+
+    def closed(ctx, key, held, at, kind):
+        held["timer"].consumed()
+        ctx.emit((held["n"],))
+        ctx.clear_state()
+
+    spec = process.Process(lambda: {"n": 0, "timer": process.SingleTimer()}, on_event=changed(1), on_retract=changed(-1), on_timer=closed)
+    return process.process_keyed(log, ["user_id"], spec, "level int").select("user_id", "ts", F.col("value.level").alias("level"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        fleet_alerts, nexmark_q1, nexmark_q2, nexmark_q3, nexmark_q5, nexmark_q7, nexmark_q8, nexmark_q12, median_rssi, connectivity, gas, composite_alerts, presence, relative_moves,
+        sensor_average, limit_alerts, mine_monitor, depot_metrics, depot_totals, gas_topology, lamp_pipelines, timed_process, fleet_alerts, nexmark_q1, nexmark_q2, nexmark_q3, nexmark_q5, nexmark_q7, nexmark_q8, nexmark_q12, median_rssi, connectivity, gas, composite_alerts, presence, relative_moves,
     )
 }
 
@@ -210,7 +312,45 @@ def _silent(name: str, has: str, within: int) -> str:
 {name} AS (SELECT user_id, 'silent' AS kind, last + {within} AS ts FROM {name}_s UNION ALL SELECT user_id, 'resumed', nts FROM {name}_s WHERE nts IS NOT NULL)"""
 
 
+def _greedy(rows: str, key: str, order: str, cooldown: int) -> str:
+    """SQL: CTEs r and g, of which those with ``keep`` pass a cool-down; ``rows`` has the key, ts and an order."""
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM {rows}),
+g AS (SELECT {key}, n, ts AS last, true AS keep FROM r WHERE n = 1 UNION ALL SELECT r.{key}, r.n, CASE WHEN r.ts - g.last > {cooldown} THEN r.ts ELSE g.last END, r.ts - g.last > {cooldown} FROM g JOIN r ON r.{key} = g.{key} AND r.n = g.n + 1)"""
+
+
 SQL = {
+    "sensor_average": f"WITH {EVENTS} SELECT user_id, ts - ts % 43200000 AS win_start, ts - ts % 43200000 + 43200000 AS win_end, round(avg(value), 4) AS mean, count(*) AS n FROM ev GROUP BY ALL",
+    "limit_alerts": f"""WITH RECURSIVE {EVENTS}, o AS (SELECT user_id, event_id, ts, 40.0::DOUBLE + c_nationkey AS lim FROM ev JOIN customer ON user_id = c_custkey WHERE c_custkey % 4 <> 0 AND value > 40.0::DOUBLE + c_nationkey),
+{_greedy("o", "user_id", "event_id", 172800000)} SELECT user_id, event_id, lim AS "limit" FROM r JOIN g USING (user_id, n) WHERE keep""",
+    "mine_monitor": f"""WITH RECURSIVE {EVENTS}, lm AS (SELECT user_id, value AS lim FROM (SELECT user_id, value, event_id FROM ev WHERE event_type = 'purchase' UNION ALL SELECT c_custkey, 50.0, -1 FROM customer WHERE c_custkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+zn AS (SELECT c_custkey AS user_id, n_name AS zone FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ga AS (SELECT * FROM ev LEFT JOIN lm USING (user_id) LEFT JOIN zn USING (user_id) WHERE event_type = 'click'),
+mo AS (SELECT user_id, ts - ts % 86400000 + 86400000 AS ts FROM ga GROUP BY ALL HAVING avg(value) > max(lim)),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM mo),
+g AS (SELECT user_id, n, ts AS last, true AS keep FROM r WHERE n = 1 UNION ALL SELECT r.user_id, r.n, CASE WHEN r.ts - g.last > 259200000 THEN r.ts ELSE g.last END, r.ts - g.last > 259200000 FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ga WHERE value > 100),
+g2 AS (SELECT user_id, n, ts AS last, true AS keep FROM r2 WHERE n = 1 UNION ALL SELECT r2.user_id, r2.n, CASE WHEN r2.ts - g2.last > 43200000 THEN r2.ts ELSE g2.last END, r2.ts - g2.last > 43200000 FROM g2 JOIN r2 ON r2.user_id = g2.user_id AND r2.n = g2.n + 1),
+pe AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > 43200000, true)::INT AS brk FROM ev WHERE event_type IN ('signup', 'view')),
+se AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM pe),
+ba AS (SELECT user_id, ts, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 2 AS k FROM ga)
+SELECT 'mean' AS branch, user_id, ts, 'over' AS detail FROM r JOIN g USING (user_id, n) WHERE keep UNION ALL SELECT 'critical', user_id, ts, coalesce(zone, '?') FROM r2 JOIN g2 USING (user_id, n) WHERE keep
+UNION ALL SELECT 'session', user_id, max(ts), count(*)::VARCHAR FROM se GROUP BY user_id, k UNION ALL SELECT 'batch', user_id, max(ts), count(*)::VARCHAR FROM ba GROUP BY user_id, k""",
+    "depot_metrics": f"""WITH {SHUFFLED}, q AS (SELECT seq, ts, user_id % 7 AS depot, value, max(ts) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60000 AS wm, ts - ts % 21600000 + 21600000 AS win_end FROM sh WHERE event_id % 19 <> 0),
+k AS (SELECT * FROM q WHERE NOT coalesce(win_end + 21600000 <= wm, false)),
+f AS (SELECT *, row_number() OVER p AS i, coalesce(wm >= win_end AND wm > coalesce(first_value(wm) OVER p, -1), false) AS fired, avg(value) OVER p AS speed, min(value) OVER p AS charge, sum((value < 5)::INT) OVER p AS low FROM k WINDOW p AS (PARTITION BY depot, win_end ORDER BY seq)),
+z AS (SELECT *, min(CASE WHEN fired THEN i END) OVER (PARTITION BY depot, win_end) AS ff, max(i) OVER (PARTITION BY depot, win_end) AS fin FROM f)
+SELECT depot, win_end, seq, CASE WHEN i >= ff THEN 'U' ELSE 'D' END AS kind, round(speed, 3) AS speed, charge, low::BIGINT AS low FROM z WHERE i >= ff OR i = coalesce(ff - 1, fin)""",
+    "depot_totals": f"WITH {EVENTS} SELECT user_id % 7 AS depot, round(sum(value), 3) AS total, count(*) AS n FROM ev WHERE event_id % 19 <> 0 GROUP BY ALL",
+    "gas_topology": f"WITH {EVENTS} SELECT 'alarm' AS branch, user_id, ts, round(value, 4) AS value FROM ev WHERE value >= 100 UNION ALL SELECT 'dashboard', user_id, ts - ts % 86400000 + 86400000, round(avg(value), 3) FROM ev GROUP BY ALL",
+    "lamp_pipelines": f"""WITH RECURSIVE {EVENTS}, o AS (SELECT * FROM ev WHERE value < 3.2), {_greedy("o", "user_id", "event_id", 86400000)},
+w AS (SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm, max(ts) OVER () AS fin FROM ev), {_silent("np", "true", 108000000)},
+s AS (SELECT user_id, -40.0::DOUBLE - value % 40.0::DOUBLE AS rssi, unnest([ts - ts % 43200000, ts - ts % 43200000 - 43200000]) AS win FROM ev), m AS (SELECT user_id, win + 86400000 AS ts, median(rssi) AS rssi FROM s GROUP BY ALL)
+SELECT 'voltage' AS query, user_id, ts, round(value, 4) AS value FROM r JOIN g USING (user_id, n) WHERE keep UNION ALL SELECT 'contact', user_id, ts, NULL FROM np WHERE kind = 'silent'
+UNION ALL SELECT 'distance', user_id, ts, round(power(10.0::DOUBLE, (-rssi - 40.0::DOUBLE) / 20.0::DOUBLE), 4) FROM m""",
+    "timed_process": f"""WITH RECURSIVE {EVENTS}, z AS (SELECT user_id, event_id, ts, event_type, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm, max(ts) OVER () AS fin, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS cnt FROM ev),
+g AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS level, NULL::BIGINT AS due, NULL::BIGINT AS out_ts, 0::BIGINT AS out_level FROM z WHERE n = 1
+  UNION ALL SELECT z.user_id, z.n, greatest(0, CASE WHEN z.wm >= g.due THEN 0 ELSE g.level END + CASE event_type WHEN 'error' THEN -1 ELSE 1 END), z.ts + 86400000, CASE WHEN z.wm >= g.due THEN g.due END, g.level FROM g JOIN z ON z.user_id = g.user_id AND z.n = g.n + 1)
+SELECT user_id, out_ts AS ts, out_level::INT AS level FROM g WHERE out_ts IS NOT NULL UNION ALL SELECT user_id, due, level::INT FROM g JOIN z USING (user_id, n) WHERE n = cnt AND fin >= due""",
     "connectivity": DEBOUNCE.format(events=EVENTS, key="user_id", value="value", latency=60000, check="value < 20", recovery="value > 40", pf=21600000, rf=0)
     + f""", w AS (SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60000 AS wm, max(ts) OVER () AS fin FROM ev),
 {_silent("np", "true", 86400000)}, {_silent("nr", "event_type <> 'error'", 129600000)}, {_silent("nm", "event_type IN ('click', 'view', 'purchase')", 86400000)},
