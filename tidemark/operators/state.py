@@ -82,23 +82,38 @@ def on_silence(df: DataFrame, keys: Sequence[str], ts: str, seq: str, within: in
     never move the last time back.  With ``ttl`` (> within) keys are forgotten ttl after their last event,
     so a later event doesn't count as resuming.
     """
-    positive("within", within)
-    if ttl is not None and ttl <= within:
-        raise ValueError("ttl must be more than within")
-    end = df.agg(F.max(ts).alias("_end"))
     rows = df if has is None else df.where(has)
-    order = Window.partitionBy(*keys).orderBy(seq)
-    last = F.max(ts).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.join(F.broadcast(end)).withColumn("_last", last).withColumn("_next_ts", F.lead(ts).over(order))
-    rows = rows.withColumn("_next_wm", F.when(F.lead(seq).over(order).isNotNull(), F.lead("wm_before").over(order)).otherwise(F.col("_end")))
-    silent = (F.col("_next_wm") >= F.col("_last") + within) & (F.col("_next_wm") > F.coalesce("wm_before", F.lit(-(1 << 62))))
-    resumed = F.col("_next_ts").isNotNull()
-    if ttl is not None:
-        resumed = resumed & (F.col("_next_wm") < F.col("_last") + ttl)
-    gone = F.struct(F.lit("silent").alias("kind"), (F.col("_last") + within).alias("ts"))
-    back = F.struct(F.lit("resumed").alias("kind"), F.col("_next_ts").alias("ts"))
-    out = rows.where(silent).select(*keys, F.explode(F.when(resumed, F.array(gone, back)).otherwise(F.array(gone))).alias("_x"))
-    return out.select(*keys, "_x.kind", "_x.ts")
+    end = df.agg(F.max(ts).alias("_end"))
+    return silences(rows, keys, ts, seq, {"": (within, None)}, end, ttl).drop("detector")
+
+
+def silences(df: DataFrame, keys: Sequence[str], ts: str, seq: str, detectors: dict[str, tuple[int, Column | None]], end: DataFrame | None = None, ttl: int | None = None) -> DataFrame:
+    """``on_silence`` for several detectors, name: (within, has), in one pass: keys, detector, kind, ts.
+
+    Each row that a detector has looks back at the one before: whether the watermark it meets shows that the key
+    had gone silent.  A key's last row looks ahead to the last watermark.  ``end`` (column ``_end``) is the latest time.
+    """
+    for within, _ in detectors.values():
+        positive("within", within)
+        if ttl is not None and ttl <= within:
+            raise ValueError("ttl must be more than within")
+    end = df.agg(F.max(ts).alias("_end")) if end is None else end
+    rows = df.join(F.broadcast(end))
+    flags = {f"_h{i}": F.lit(True) if has is None else F.coalesce(has, F.lit(False)) for i, (_, has) in enumerate(detectors.values())}
+    rows = rows.select(*keys, F.col(ts).alias("_t"), F.col(seq).alias("_s"), F.coalesce(F.col("wm_before"), F.lit(-(1 << 62))).alias("_w"), "_end", *[c.alias(n) for n, c in flags.items()])
+    order = Window.partitionBy(*keys).orderBy("_s")
+    frames = {"b": order.rowsBetween(Window.unboundedPreceding, -1), "i": order.rowsBetween(Window.unboundedPreceding, Window.currentRow)}
+    looks = {f"_{x}{n}{i}": (F.max(F.when(F.col(f"_h{i}"), F.col("_t"))) if x == "l" else F.max(F.when(F.col(f"_h{i}"), F.col("_w")))).over(f) for i in range(len(detectors)) for n, f in frames.items() for x in "lw"}
+    rows = rows.select("*", *[c.alias(n) for n, c in looks.items()], F.lead("_s").over(order).isNull().alias("_is_last"))
+    made = []
+    for i, (name, (within, _)) in enumerate(detectors.items()):
+        event = lambda kind, at, name=name: F.struct(F.lit(name).alias("detector"), F.lit(kind).alias("kind"), at.alias("ts"))
+        none = F.lit(None).cast("struct<detector:string,kind:string,ts:bigint>")
+        silent = F.col(f"_h{i}") & (F.col("_w") >= F.col(f"_lb{i}") + within) & (F.col("_w") > F.col(f"_wb{i}"))
+        back = silent if ttl is None else silent & (F.col("_w") < F.col(f"_lb{i}") + ttl)
+        ends = F.col("_is_last") & (F.col("_end") >= F.col(f"_li{i}") + within) & (F.col("_end") > F.col(f"_wi{i}"))
+        made += [F.when(silent, event("silent", F.col(f"_lb{i}") + within)).otherwise(none), F.when(back, event("resumed", F.col("_t"))).otherwise(none), F.when(ends, event("silent", F.col(f"_li{i}") + within)).otherwise(none)]
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("_x")).select(*keys, "_x.*")
 
 
 def silence_age(df: DataFrame, marks: DataFrame, keys: Sequence[str], ts: str, seq: str, tick: int, width: int = 4096) -> DataFrame:

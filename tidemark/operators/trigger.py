@@ -185,9 +185,9 @@ def of_stream(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str,
 def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, triggers: Sequence[Trigger]) -> DataFrame:
     """All ``triggers`` (of exclusive conditions) in one scan and one shuffle; ``at`` is when a row comes out.
 
-    A block is a run of checks with the rows up to the next run.  Its alert is due ``problem_for`` after the
-    run's first row, its recovery ``recovery_for`` after the first recovery in it; a row shows that it is over by
-    its own time or by the watermark it meets.  Of all that are over, those that change the status count.
+    An alert is due ``problem_for`` after the first row of a run of checks, its recovery ``recovery_for`` after the first
+    recovery behind the run; a row shows that the time is over by its own time or by the watermark it meets.  Of
+    all that are over, those that change the status count.
     """
     flag = lambda p: F.coalesce(p(F.col(value)), F.lit(False))
     wm = F.col("wm_before") if "wm_before" in df.columns else F.lit(None)
@@ -201,22 +201,26 @@ def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, t
     order = Window.partitionBy(*part).orderBy("_seq")
     before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_top", F.max("_ts").over(before)).where("_top IS NULL OR _ts >= _top")
-    rows = rows.withColumn("_was", F.coalesce(F.lag("check").over(order), F.lit(False)))
-    rows = rows.withColumn("_block", F.sum((F.col("check") & ~F.col("_was")).cast("int")).over(so_far))
-    rows = rows.withColumn("_since", F.last(F.when(F.col("check") & ~F.col("_was"), F.col("_ts")), ignorenulls=True).over(so_far))
-    rows = rows.withColumn("_held", F.last(F.when(F.col("check"), F.struct("_v")), ignorenulls=True).over(before))
-    block = Window.partitionBy(*part, "_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    recovers = F.col("rec") & ~F.col("check") & (F.col("_block") > 0)
-    rows = rows.withColumn("_rs", F.first(F.when(recovers, F.col("_ts")), ignorenulls=True).over(block)).withColumn("_rv", F.last(F.when(recovers, F.struct("_v")), ignorenulls=True).over(block))
-    rows = rows.withColumn("_prs", F.lag("_rs").over(order)).withColumn("_prv", F.lag("_rv").over(order)).withColumn("_last", F.lead("_seq").over(order).isNull())
+    mark = F.when(F.col("check"), 1).when(F.col("rec"), 2)
+    rows = rows.select("*", F.coalesce(F.lag("check").over(order), F.lit(False)).alias("_was"), F.last(mark, ignorenulls=True).over(before).alias("_mark"))
+    starts, recovers = F.col("check") & ~F.col("_was"), F.col("rec") & ~F.col("check") & F.col("_mark").isNotNull()
+    # what a new run of checks takes back becomes null with its first row
+    first = F.when(starts, F.struct(F.lit(None).cast("long").alias("x"))).when(recovers & (F.col("_mark") == 1), F.struct(F.col("_ts").alias("x")))
+    newest = F.when(starts, F.struct(F.lit(None).cast("double").alias("x"))).when(recovers, F.struct(F.col("_v").alias("x")))
+    last = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
+    rows = rows.select(
+        "*", last(F.when(starts, F.col("_ts")), so_far).alias("_since"), last(F.when(F.col("check"), F.struct("_v")), before).alias("_held"),
+        last(first, so_far)["x"].alias("_rs"), last(newest, so_far)["x"].alias("_rv"), last(first, before)["x"].alias("_prs"), last(newest, before)["x"].alias("_prv"),
+        F.lead("_seq").over(order).isNull().alias("_last"),
+    )
 
     none = F.lit(None).cast("struct<pos:int,status:string,ts:bigint,value:double>")
     event = lambda pos, status, at, v: F.struct(F.lit(pos).alias("pos"), F.lit(status).alias("status"), at.alias("ts"), v.alias("value"))
     due, rdue, prdue = F.col("_since") + F.col("pf"), F.col("_rs") + F.col("rf"), F.col("_prs") + F.col("rf")
     found = F.array(
-        F.when(F.col("_was") & (F.col("_wm") >= due) & (F.col("pf") > 0), event(0, "problem", due, F.col("_held._v"))).when((F.col("_wm") >= prdue) & (F.col("rf") > 0), event(0, "ok", prdue, F.col("_prv._v"))).otherwise(none),
+        F.when(F.col("_was") & (F.col("_wm") >= due) & (F.col("pf") > 0), event(0, "problem", due, F.col("_held._v"))).when((F.col("_wm") >= prdue) & (F.col("rf") > 0), event(0, "ok", prdue, F.col("_prv"))).otherwise(none),
         F.when(F.col("check") & (F.col("_ts") >= due), event(1, "problem", F.col("_ts"), F.col("_v"))).when(recovers & (F.col("_ts") >= rdue), event(1, "ok", F.col("_ts"), F.col("_v"))).otherwise(none),
-        F.when(F.col("_last") & F.col("check") & (F.col("_end") >= due), event(2, "problem", due, F.col("_v"))).when(F.col("_last") & ~F.col("check") & (F.col("_end") >= rdue), event(2, "ok", rdue, F.col("_rv._v"))).otherwise(none),
+        F.when(F.col("_last") & F.col("check") & (F.col("_end") >= due), event(2, "problem", due, F.col("_v"))).when(F.col("_last") & ~F.col("check") & (F.col("_end") >= rdue), event(2, "ok", rdue, F.col("_rv"))).otherwise(none),
     )
     steps = rows.select(*part, "severity", "_seq", F.explode(F.array_compact(found)).alias("x")).select(*part, "severity", "_seq", "x.*")
     order = Window.partitionBy(*part).orderBy("_seq", "pos")

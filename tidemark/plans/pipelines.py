@@ -105,20 +105,24 @@ def connectivity_alerts(
     and their alerts are held back; contact comes back with the next packet.
     """
     log = packets.select(*keys, F.col(ts).alias("ts"), F.col(seq).alias("seq"), readings.alias("readings"), moving.alias("moving"), voltage.cast("double").alias("voltage"), sos.alias("sos"))
-    log = watermark.with_wm_before(log, "ts", "seq", latency)
-    contact = state.on_silence(log, keys, "ts", "seq", no_packets)
-    absent = lambda within, has: state.on_silence(log, keys, "ts", "seq", within, has).where("kind = 'silent'").select(*keys, "ts")
-    made = lambda rows, alert: rows.select(*keys, F.lit(alert).alias("alert"), F.lit("D").alias("kind"), "ts", F.col("ts").alias("at"))
+    urgent_log, log = log, watermark.with_wm_before(log, "ts", "seq", latency)
+    quiet = state.silences(log, keys, "ts", "seq", {"no_packets": (no_packets, None), "no_readings": (no_readings, F.col("readings")), "no_motion": (no_motion, F.col("moving"))})
     battery = trigger.Trigger("low_voltage", trigger.less_than_with_hysteresis(low, fine), "warning", problem_for=hold)
     power = trigger.changes(log, keys, "ts", "seq", "voltage", [battery])
-    power = power.select(*keys, F.when(F.col("status") == "ok", "voltage_ok").otherwise("low_voltage").alias("alert"), "kind", "ts", "at")
-    held = made(absent(no_motion, F.col("moving")), "no_motion").unionByName(power).withColumn("order", F.when(F.col("kind") == "R", 0).otherwise(1))
-    gate = F.when(F.col("kind") == "silent", "on").otherwise("off")
-    contact_at = contact.select(*keys, "kind", F.col("ts").alias("at"), F.when(F.col("kind") == "silent", 0).otherwise(1).alias("order"))
-    known = joins.suppress_while(contact_at, held, keys, keys, "at", "order", gate)
-    alone = made(contact.where("kind = 'silent'"), "no_packets").unionByName(made(absent(no_readings, F.col("readings")), "no_readings"))
-    urgent = made(log.where("sos").dropDuplicates([*keys, "ts"]), "sos")
-    return alone.unionByName(urgent).unionByName(known.drop("order")).drop("at")
+    # each detector is read once: contact gates the rows beside it by a window over the key
+    silent, contact = F.col("kind") == "silent", F.col("detector") == "no_packets"
+    gate = F.when(contact, F.when(silent, "on").otherwise("off"))
+    rows = quiet.where(silent | contact).select(
+        *keys, F.col("detector").alias("alert"), F.lit("D").alias("kind"), "ts", F.col("ts").alias("at"), gate.alias("gate"), silent.alias("says"), (F.col("detector") == "no_motion").alias("held"), F.when(silent, 0).otherwise(1).alias("order")
+    )
+    volts = power.select(
+        *keys, F.when(F.col("status") == "ok", "voltage_ok").otherwise("low_voltage").alias("alert"), "kind", "ts", "at", F.lit(None).cast("string").alias("gate"), F.lit(True).alias("says"), F.lit(True).alias("held"), F.lit(2).alias("order")
+    )
+    so_far = Window.partitionBy(*keys).orderBy("at", F.col("gate").isNull(), "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = rows.unionByName(volts).withColumn("on", F.last("gate", ignorenulls=True).over(so_far))
+    known = known.where("says AND NOT (held AND coalesce(on = 'on', false))").select(*keys, "alert", "kind", "ts")
+    urgent = urgent_log.where("sos").dropDuplicates([*keys, "ts"]).select(*keys, F.lit("sos").alias("alert"), F.lit("D").alias("kind"), "ts")
+    return known.unionByName(urgent)
 
 
 def connectivity(spark, d):
