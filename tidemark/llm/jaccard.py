@@ -23,7 +23,9 @@ Search, in two rounds, so that a group of near copies is not multiplied out:
    as far as the triangle inequality leaves a link possible.
 Links go to connected components; no link between different components of the graph is lost.
 
-Verification compares whole sets, built again from the texts of the candidates.
+Verification compares whole sets, built again from the texts of the candidates.  Shingles are equal if their
+64-bit hashes are: within a pair of sets of 10,000 shingles two differ and collide with a chance of 10**-11, and
+a link hangs on that only at the threshold itself.  Sets of one class have equal sizes and 128 bits in common.
 
 Null text or text without words: empty set, size 0, linked with nothing.  Fewer than five words: the whole
 sequence is one shingle.  Sets of fewer than four shingles link with equal sets only.  Very long texts count whole.  Repeated rows and equal texts share a class; rows
