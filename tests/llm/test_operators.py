@@ -148,6 +148,33 @@ def test_op2_sets_of_few_shingles(spark):
     assert got == _components(sets, links)
 
 
+def test_op2_of_short_texts_is_brute_force(spark):
+    r = random.Random(12)
+    rows, base = [], []
+    for i in range(240):
+        if base and r.random() < 0.7:  # a word more, fewer or other than an earlier text
+            w = list(r.choice(base))
+            for _ in range(r.randint(0, 2)):
+                at = r.randrange(len(w) + 1)
+                w[at : at + r.randint(0, 1)] = r.choice(([], [r.choice("abcdefgh")]))
+        else:
+            w = [r.choice("abcdefgh") for _ in range(r.randint(1, 12))]
+        base.append(w[:14])
+        rows.append((i, " ".join(base[-1])))
+    sets = {d: ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()) for d, w in ((d, t.split()) for d, t in rows)}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(sets, links) and any(sets[a] != sets[b] for a, b in links)
+
+
+def test_op3_different_texts_of_one_id(spark):
+    r = random.Random(2)
+    passage = " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    rows = [(1, f"a {passage} b"), (2, f"{passage} c"), (2, f"d e {passage}"), (3, "f g h")]
+    got = Counter((x["doc"], x["n_removed"]) for x in substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 0): 1, (2, 60): 2, (3, 0): 1}
+
+
 def test_op3(spark, sf):
     first = {}
     for d, t, *_ in sorted(ROWS, key=lambda r: r[0]):
