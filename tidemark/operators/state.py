@@ -149,7 +149,7 @@ def silence_age(df: DataFrame, marks: DataFrame, keys: Sequence[str], ts: str, s
 
     types = dict(df.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "ts long", "age long"])
-    aged = ordered_scan(hits.select(*keys, "_from", "_last", "wm", "after_seq"), keys, ["_from", "after_seq"], step, schema)
+    aged = ordered_scan(hits.select(*keys, "_from", "_last", "wm", "after_seq"), keys, ["_from", "after_seq", "wm"], step, schema)
     return spans.select(*keys, F.col("_ts").alias("ts"), F.lit(0).cast("long").alias("age")).union(aged)
 
 
