@@ -196,7 +196,7 @@ def relative_moves(spark, d):
 def sensor_average(spark, d):
     """Bad readings out, then the mean per sensor and window."""
     rows = events(spark, d).where(F.abs(F.col("value") - 999.0) > 1e-9)
-    return windows.window_agg(rows, ["user_id"], "ts", windows.tumbling(hours(12)), F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("n"))
+    return windows.window_agg(rows, ["user_id"], "ts", windows.tumbling(hours(12)), F.round(F.avg("value"), 7).alias("mean"), F.count("*").alias("n"))
 
 
 def limit_alerts(spark, d):
@@ -246,7 +246,7 @@ def depot_metrics(spark, d):
     out = windows.window_log_changes(
         log, {"depot": lambda v: v["depot"]}, windows.tumbling(hours(6)), allowed_lateness=hours(6), speed=windows.averaged(x), charge=least, low=windows.counted_if(lambda v: v["value"] < 5)
     )
-    return out.select("depot", "win_end", "seq", "kind", F.round("value.speed", 3).alias("speed"), "value.charge", "value.low")
+    return out.select("depot", "win_end", "seq", "kind", F.round("value.speed", 7).alias("speed"), "value.charge", "value.low")
 
 
 def depot_totals(spark, d):
@@ -260,7 +260,7 @@ def gas_topology(spark, d):
     e = events(spark, d).select("event_id", "user_id", "value", "ts")
     merged = watermark.merge_partitioned([e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1")], "ts", "event_id")
     alarms = merged.where("value >= 100").select(F.lit("alarm").alias("branch"), "user_id", "ts", F.round("value", 4).alias("value"))
-    board = windows.window_agg(merged, ["user_id"], "ts", windows.tumbling(hours(24)), F.round(F.avg("value"), 3).alias("value"))
+    board = windows.window_agg(merged, ["user_id"], "ts", windows.tumbling(hours(24)), F.round(F.avg("value"), 7).alias("value"))
     return alarms.unionByName(board.select(F.lit("dashboard").alias("branch"), "user_id", F.col("win_end").alias("ts"), "value"))
 
 
@@ -323,7 +323,7 @@ g AS (SELECT {key}, n, ts AS last, true AS keep FROM r WHERE n = 1 UNION ALL SEL
 
 
 SQL = {
-    "sensor_average": f"WITH {EVENTS} SELECT user_id, ts - ts % 43200000 AS win_start, ts - ts % 43200000 + 43200000 AS win_end, round(avg(value), 4) AS mean, count(*) AS n FROM ev GROUP BY ALL",
+    "sensor_average": f"WITH {EVENTS} SELECT user_id, ts - ts % 43200000 AS win_start, ts - ts % 43200000 + 43200000 AS win_end, round(avg(value), 7) AS mean, count(*) AS n FROM ev GROUP BY ALL",
     "limit_alerts": f"""WITH RECURSIVE {EVENTS}, o AS (SELECT user_id, event_id, ts, 40.0::DOUBLE + c_nationkey AS lim FROM ev JOIN customer ON user_id = c_custkey WHERE c_custkey % 4 <> 0 AND value > 40.0::DOUBLE + c_nationkey),
 {_greedy("o", "user_id", "event_id", 172800000)} SELECT user_id, event_id, lim AS "limit" FROM r JOIN g USING (user_id, n) WHERE keep""",
     "mine_monitor": f"""WITH RECURSIVE {EVENTS}, lm AS (SELECT user_id, value AS lim FROM (SELECT user_id, value, event_id FROM ev WHERE event_type = 'purchase' UNION ALL SELECT c_custkey, 50.0, -1 FROM customer WHERE c_custkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
@@ -343,9 +343,9 @@ UNION ALL SELECT 'session', user_id, max(ts), count(*)::VARCHAR FROM se GROUP BY
 k AS (SELECT * FROM q WHERE NOT coalesce(win_end + 21600000 <= wm, false)),
 f AS (SELECT *, row_number() OVER p AS i, coalesce(wm >= win_end AND wm > coalesce(first_value(wm) OVER p, -1), false) AS fired, avg(value) OVER p AS speed, min(value) OVER p AS charge, sum((value < 5)::INT) OVER p AS low FROM k WINDOW p AS (PARTITION BY depot, win_end ORDER BY seq)),
 z AS (SELECT *, min(CASE WHEN fired THEN i END) OVER (PARTITION BY depot, win_end) AS ff, max(i) OVER (PARTITION BY depot, win_end) AS fin FROM f)
-SELECT depot, win_end, seq, CASE WHEN i >= ff THEN 'U' ELSE 'D' END AS kind, round(speed, 3) AS speed, charge, low::BIGINT AS low FROM z WHERE i >= ff OR i = coalesce(ff - 1, fin)""",
+SELECT depot, win_end, seq, CASE WHEN i >= ff THEN 'U' ELSE 'D' END AS kind, round(speed, 7) AS speed, charge, low::BIGINT AS low FROM z WHERE i >= ff OR i = coalesce(ff - 1, fin)""",
     "depot_totals": f"WITH {EVENTS} SELECT user_id % 7 AS depot, round(sum(value), 3) AS total, count(*) AS n FROM ev WHERE event_id % 19 <> 0 GROUP BY ALL",
-    "gas_topology": f"WITH {EVENTS} SELECT 'alarm' AS branch, user_id, ts, round(value, 4) AS value FROM ev WHERE value >= 100 UNION ALL SELECT 'dashboard', user_id, ts - ts % 86400000 + 86400000, round(avg(value), 3) FROM ev GROUP BY ALL",
+    "gas_topology": f"WITH {EVENTS} SELECT 'alarm' AS branch, user_id, ts, round(value, 4) AS value FROM ev WHERE value >= 100 UNION ALL SELECT 'dashboard', user_id, ts - ts % 86400000 + 86400000, round(avg(value), 7) FROM ev GROUP BY ALL",
     "lamp_pipelines": f"""WITH RECURSIVE {EVENTS}, o AS (SELECT * FROM ev WHERE value < 3.2), {_greedy("o", "user_id", "event_id", 86400000)},
 w AS (SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm, max(ts) OVER () AS fin FROM ev), {_silent("np", "true", 108000000)},
 s AS (SELECT user_id, -40.0::DOUBLE - value % 40.0::DOUBLE AS rssi, unnest([ts - ts % 43200000, ts - ts % 43200000 - 43200000]) AS win FROM ev), m AS (SELECT user_id, win + 86400000 AS ts, median(rssi) AS rssi FROM s GROUP BY ALL)

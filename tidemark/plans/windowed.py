@@ -145,7 +145,7 @@ def _retractable():
 def window_withdrawn(spark, d):
     """Final daily windows of a log with withdrawals and corrections."""
     out = windows.window_log(corrected_log(spark, d), {"user_id": lambda v: v["user_id"]}, windows.tumbling(hours(24)), **_retractable())
-    return out.select("user_id", "win_end", "n", "big", F.round("total", 3).alias("total"), F.round("mean", 3).alias("mean"), F.round("mid", 4).alias("mid"))
+    return out.select("user_id", "win_end", "n", "big", F.round("total", 3).alias("total"), F.round("mean", 7).alias("mean"), F.round("mid", 4).alias("mid"))
 
 
 def window_corrected(spark, d):
@@ -185,7 +185,7 @@ h AS (SELECT user_id, win_end, v, greatest(0, max(run) - 0) AS top, last(run ORD
 lo AS (SELECT user_id, win_end, v, min(run) AS low, last(run ORDER BY i) AS fin FROM (SELECT *, sum(CASE WHEN adds THEN 1 ELSE -1 END) OVER (PARTITION BY user_id, win_end, v ORDER BY i) AS run FROM nu) GROUP BY ALL),
 kept AS (SELECT user_id, win_end, unnest(list_transform(range(0, (fin - least(low, 0))::BIGINT), lambda k: v)) AS v FROM lo),
 m AS (SELECT user_id, win_end, median(v) AS mid FROM kept GROUP BY ALL)
-SELECT user_id, win_end, n::BIGINT AS n, big::BIGINT AS big, round(total, 3) AS total, round(CASE WHEN n <> 0 THEN total / n END, 3) AS mean, round(mid, 4) AS mid FROM st LEFT JOIN m USING (user_id, win_end)""",
+SELECT user_id, win_end, n::BIGINT AS n, big::BIGINT AS big, round(total, 3) AS total, round(CASE WHEN n <> 0 THEN total / n END, 7) AS mean, round(mid, 4) AS mid FROM st LEFT JOIN m USING (user_id, win_end)""",
     "window_corrected": f"""WITH {_CHANGED}, g AS (SELECT seq, max(ts) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM sh),
 k AS (SELECT c.*, g.wm FROM c JOIN g USING (seq) WHERE NOT coalesce(win_end + 259200000 <= wm, false)),
 f AS (SELECT *, row_number() OVER p AS i, coalesce(wm >= win_end AND wm > coalesce(first_value(wm) OVER p, -1), false) AS fired, sum({_SIGNED.format(f="1", g="1")}) OVER p AS n, sum({_SIGNED.format(f="x", g="old_x")}) OVER p AS total FROM k WINDOW p AS (PARTITION BY user_id, win_end ORDER BY seq)),
