@@ -366,6 +366,14 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: v for k, v in want.items() if k in got} and set(got) == set(want)
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    tables, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: tables.append(1) or written(df))
+    got = graph.connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long"))
+    assert {r["component"] for r in got.collect()} == {0} and got.count() == 301
+    assert len(tables) < 40  # three a round
+
+
 def test_pipeline(spark, sf, empty):
     import corpus_pipeline as p
 
