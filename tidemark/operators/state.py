@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,17 +103,21 @@ def silences(df: DataFrame, keys: Sequence[str], ts: str, seq: str, detectors: d
     flags = {f"_h{i}": F.lit(True) if has is None else F.coalesce(has, F.lit(False)) for i, (_, has) in enumerate(detectors.values())}
     rows = rows.select(*keys, F.col(ts).alias("_t"), F.col(seq).alias("_s"), F.coalesce(F.col("wm_before"), F.lit(-(1 << 62))).alias("_w"), "_end", *[c.alias(n) for n, c in flags.items()])
     order = Window.partitionBy(*keys).orderBy("_s")
-    frames = {"b": order.rowsBetween(Window.unboundedPreceding, -1), "i": order.rowsBetween(Window.unboundedPreceding, Window.currentRow)}
-    looks = {f"_{x}{n}{i}": (F.max(F.when(F.col(f"_h{i}"), F.col("_t"))) if x == "l" else F.max(F.when(F.col(f"_h{i}"), F.col("_w")))).over(f) for i in range(len(detectors)) for n, f in frames.items() for x in "lw"}
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    looks = {f"_{x}b{i}": F.max(F.when(F.col(f"_h{i}"), F.col(c))).over(before) for i in range(len(detectors)) for x, c in (("l", "_t"), ("w", "_w"))}
+    so_far = lambda x, c, i: F.greatest(f"_{x}b{i}", F.when(F.col(f"_h{i}"), F.col(c)))
     rows = rows.select("*", *[c.alias(n) for n, c in looks.items()], F.lead("_s").over(order).isNull().alias("_is_last"))
-    made = []
+    made, shown = [], []
     for i, (name, (within, _)) in enumerate(detectors.items()):
         event = lambda kind, at, name=name: F.struct(F.lit(name).alias("detector"), F.lit(kind).alias("kind"), at.alias("ts"))
         none = F.lit(None).cast("struct<detector:string,kind:string,ts:bigint>")
         silent = F.col(f"_h{i}") & (F.col("_w") >= F.col(f"_lb{i}") + within) & (F.col("_w") > F.col(f"_wb{i}"))
         back = silent if ttl is None else silent & (F.col("_w") < F.col(f"_lb{i}") + ttl)
-        ends = F.col("_is_last") & (F.col("_end") >= F.col(f"_li{i}") + within) & (F.col("_end") > F.col(f"_wi{i}"))
-        made += [F.when(silent, event("silent", F.col(f"_lb{i}") + within)).otherwise(none), F.when(back, event("resumed", F.col("_t"))).otherwise(none), F.when(ends, event("silent", F.col(f"_li{i}") + within)).otherwise(none)]
+        latest = so_far("l", "_t", i)
+        ends = F.col("_is_last") & (F.col("_end") >= latest + within) & (F.col("_end") > so_far("w", "_w", i))
+        shown.append(silent | ends)
+        made += [F.when(silent, event("silent", F.col(f"_lb{i}") + within)).otherwise(none), F.when(back, event("resumed", F.col("_t"))).otherwise(none), F.when(ends, event("silent", latest + within)).otherwise(none)]
+    rows = rows.where(reduce(Column.__or__, shown))  # few rows show a silence
     return rows.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("_x")).select(*keys, "_x.*")
 
 

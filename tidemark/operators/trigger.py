@@ -182,8 +182,9 @@ def of_stream(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str,
     return changes(df, keys, ts, seq, value, [trigger]).drop("at")
 
 
-def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, triggers: Sequence[Trigger]) -> DataFrame:
+def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, triggers: Sequence[Trigger], end: DataFrame | None = None) -> DataFrame:
     """All ``triggers`` (of exclusive conditions) in one scan and one shuffle; ``at`` is when a row comes out.
+    ``end`` (column ``_end``) is the latest time, read from ``df`` unless given.
 
     An alert is due ``problem_for`` after the first row of a run of checks, its recovery ``recovery_for`` after the first
     recovery behind the run; a row shows that the time is over by its own time or by the watermark it meets.  Of
@@ -196,7 +197,8 @@ def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, t
         for t in triggers
     ]
     rows = df.select(*keys, F.col(ts).cast("long").alias("_ts"), F.col(seq).alias("_seq"), F.col(value).cast("double").alias("_v"), wm.cast("long").alias("_wm"), (F.explode(F.array(*specs)) if len(specs) > 1 else specs[0]).alias("_s"))
-    rows = rows.select(*keys, "_ts", "_seq", "_v", "_wm", "_s.*").join(F.broadcast(df.agg(F.max(ts).cast("long").alias("_end"))))
+    end = df.agg(F.max(ts).cast("long").alias("_end")) if end is None else end
+    rows = rows.select(*keys, "_ts", "_seq", "_v", "_wm", "_s.*").join(F.broadcast(end))
     part = [*keys, "trigger"]
     order = Window.partitionBy(*part).orderBy("_seq")
     before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -217,12 +219,13 @@ def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, t
     none = F.lit(None).cast("struct<pos:int,status:string,ts:bigint,value:double>")
     event = lambda pos, status, at, v: F.struct(F.lit(pos).alias("pos"), F.lit(status).alias("status"), at.alias("ts"), v.alias("value"))
     due, rdue, prdue = F.col("_since") + F.col("pf"), F.col("_rs") + F.col("rf"), F.col("_prs") + F.col("rf")
-    found = F.array(
+    found = [
         F.when(F.col("_was") & (F.col("_wm") >= due) & (F.col("pf") > 0), event(0, "problem", due, F.col("_held._v"))).when((F.col("_wm") >= prdue) & (F.col("rf") > 0), event(0, "ok", prdue, F.col("_prv"))).otherwise(none),
         F.when(F.col("check") & (F.col("_ts") >= due), event(1, "problem", F.col("_ts"), F.col("_v"))).when(recovers & (F.col("_ts") >= rdue), event(1, "ok", F.col("_ts"), F.col("_v"))).otherwise(none),
         F.when(F.col("_last") & F.col("check") & (F.col("_end") >= due), event(2, "problem", due, F.col("_v"))).when(F.col("_last") & ~F.col("check") & (F.col("_end") >= rdue), event(2, "ok", rdue, F.col("_rv"))).otherwise(none),
-    )
-    steps = rows.select(*part, "severity", "_seq", F.explode(F.array_compact(found)).alias("x")).select(*part, "severity", "_seq", "x.*")
+    ]
+    rows = rows.select(*part, "severity", "_seq", *[x.alias(f"_x{i}") for i, x in enumerate(found)]).where("coalesce(_x0, _x1, _x2) IS NOT NULL")
+    steps = rows.select(*part, "severity", "_seq", F.explode(F.array_compact(F.array("_x0", "_x1", "_x2"))).alias("x")).select(*part, "severity", "_seq", "x.*")
     order = Window.partitionBy(*part).orderBy("_seq", "pos")
     kept = steps.withColumn("_before", F.coalesce(F.lag("status").over(order), F.lit("ok"))).where("status <> _before")
     kept = kept.withColumn("_at", F.lag("ts").over(order)).withColumn("_av", F.lag("value").over(order))

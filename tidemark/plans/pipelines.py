@@ -105,10 +105,11 @@ def connectivity_alerts(
     and their alerts are held back; contact comes back with the next packet.
     """
     log = packets.select(*keys, F.col(ts).alias("ts"), F.col(seq).alias("seq"), readings.alias("readings"), moving.alias("moving"), voltage.cast("double").alias("voltage"), sos.alias("sos"))
+    end = log.agg(F.max("ts").cast("long").alias("_end"))  # without the watermarks' pass
     urgent_log, log = log, watermark.with_wm_before(log, "ts", "seq", latency)
-    quiet = state.silences(log, keys, "ts", "seq", {"no_packets": (no_packets, None), "no_readings": (no_readings, F.col("readings")), "no_motion": (no_motion, F.col("moving"))})
+    quiet = state.silences(log, keys, "ts", "seq", {"no_packets": (no_packets, None), "no_readings": (no_readings, F.col("readings")), "no_motion": (no_motion, F.col("moving"))}, end)
     battery = trigger.Trigger("low_voltage", trigger.less_than_with_hysteresis(low, fine), "warning", problem_for=hold)
-    power = trigger.changes(log, keys, "ts", "seq", "voltage", [battery])
+    power = trigger.changes(log, keys, "ts", "seq", "voltage", [battery], end)
     # each detector is read once: contact gates the rows beside it by a window over the key
     silent, contact = F.col("kind") == "silent", F.col("detector") == "no_packets"
     gate = F.when(contact, F.when(silent, "on").otherwise("off"))
