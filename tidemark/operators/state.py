@@ -94,19 +94,25 @@ def silences(df: DataFrame, keys: Sequence[str], ts: str, seq: str, detectors: d
     Each row that a detector has looks back at the one before: whether the watermark it meets shows that the key
     had gone silent.  A key's last row looks ahead to the last watermark.  ``end`` (column ``_end``) is the latest time.
     """
+    end = df.agg(F.max(ts).alias("_end")) if end is None else end
+    rows = silence_marks(df.join(F.broadcast(end)), keys, ts, seq, detectors, ttl).where("_silences IS NOT NULL")  # few rows show a silence
+    return rows.select(*keys, F.explode("_silences").alias("_x")).select(*keys, "_x.*")
+
+
+def silence_marks(rows: DataFrame, keys: Sequence[str], ts: str, seq: str, detectors: dict[str, tuple[int, Column | None]], ttl: int | None = None) -> DataFrame:
+    """Adds ``_silences``: array of (detector, kind, ts) that a row shows, or null.  ``rows`` has ``wm_before`` and ``_end``."""
     for within, _ in detectors.values():
         positive("within", within)
         if ttl is not None and ttl <= within:
             raise ValueError("ttl must be more than within")
-    end = df.agg(F.max(ts).alias("_end")) if end is None else end
-    rows = df.join(F.broadcast(end))
+    names = rows.columns
     flags = {f"_h{i}": F.lit(True) if has is None else F.coalesce(has, F.lit(False)) for i, (_, has) in enumerate(detectors.values())}
-    rows = rows.select(*keys, F.col(ts).alias("_t"), F.col(seq).alias("_s"), F.coalesce(F.col("wm_before"), F.lit(-(1 << 62))).alias("_w"), "_end", *[c.alias(n) for n, c in flags.items()])
-    order = Window.partitionBy(*keys).orderBy("_s")
+    rows = rows.select("*", F.col(ts).alias("_t"), F.coalesce(F.col("wm_before"), F.lit(-(1 << 62))).alias("_w"), *[c.alias(n) for n, c in flags.items()])
+    order = Window.partitionBy(*keys).orderBy(seq)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     looks = {f"_{x}b{i}": F.max(F.when(F.col(f"_h{i}"), F.col(c))).over(before) for i in range(len(detectors)) for x, c in (("l", "_t"), ("w", "_w"))}
     so_far = lambda x, c, i: F.greatest(f"_{x}b{i}", F.when(F.col(f"_h{i}"), F.col(c)))
-    rows = rows.select("*", *[c.alias(n) for n, c in looks.items()], F.lead("_s").over(order).isNull().alias("_is_last"))
+    rows = rows.select("*", *[c.alias(n) for n, c in looks.items()], F.lead(seq).over(order).isNull().alias("_is_last"))
     made, shown = [], []
     for i, (name, (within, _)) in enumerate(detectors.items()):
         event = lambda kind, at, name=name: F.struct(F.lit(name).alias("detector"), F.lit(kind).alias("kind"), at.alias("ts"))
@@ -117,8 +123,7 @@ def silences(df: DataFrame, keys: Sequence[str], ts: str, seq: str, detectors: d
         ends = F.col("_is_last") & (F.col("_end") >= latest + within) & (F.col("_end") > so_far("w", "_w", i))
         shown.append(silent | ends)
         made += [F.when(silent, event("silent", F.col(f"_lb{i}") + within)).otherwise(none), F.when(back, event("resumed", F.col("_t"))).otherwise(none), F.when(ends, event("silent", latest + within)).otherwise(none)]
-    rows = rows.where(reduce(Column.__or__, shown))  # few rows show a silence
-    return rows.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("_x")).select(*keys, "_x.*")
+    return rows.select(*names, F.when(reduce(Column.__or__, shown), F.array_compact(F.array(*made))).alias("_silences"))
 
 
 def silence_age(df: DataFrame, marks: DataFrame, keys: Sequence[str], ts: str, seq: str, tick: int, width: int = 4096) -> DataFrame:

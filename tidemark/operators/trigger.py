@@ -182,50 +182,67 @@ def of_stream(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str,
     return changes(df, keys, ts, seq, value, [trigger]).drop("at")
 
 
-def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, triggers: Sequence[Trigger], end: DataFrame | None = None) -> DataFrame:
-    """All ``triggers`` (of exclusive conditions) in one scan and one shuffle; ``at`` is when a row comes out.
-    ``end`` (column ``_end``) is the latest time, read from ``df`` unless given.
+def spec(trigger: Trigger, value: str) -> Column:
+    """What ``candidates`` reads of a trigger: trigger, severity, check, rec, pf, rf."""
+    flag = lambda p: F.coalesce(p(F.col(value)), F.lit(False))
+    times = F.lit(trigger.problem_for).cast("long").alias("pf"), F.lit(trigger.recovery_for).cast("long").alias("rf")
+    return F.struct(F.lit(trigger.name).alias("trigger"), F.lit(trigger.severity).alias("severity"), flag(trigger.condition.check).alias("check"), flag(trigger.condition.recovery).alias("rec"), *times)
 
-    An alert is due ``problem_for`` after the first row of a run of checks, its recovery ``recovery_for`` after the first
-    recovery behind the run; a row shows that the time is over by its own time or by the watermark it meets.  Of
-    all that are over, those that change the status count.
+
+def candidates(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Adds ``_found``: array of (pos, status, ts, value), the changes of status that a row shows, or null.
+
+    ``rows`` has _ts, _seq, _v, _wm, _end and the fields of ``spec``.  Rows older than their key's last stay, and show
+    nothing but what is due at the end, so that other detectors can read the same rows beside this one.
     """
-    flag = lambda p: F.coalesce(p(F.col(value)), F.lit(False))
-    wm = F.col("wm_before") if "wm_before" in df.columns else F.lit(None)
-    specs = [
-        F.struct(F.lit(t.name).alias("trigger"), F.lit(t.severity).alias("severity"), flag(t.condition.check).alias("check"), flag(t.condition.recovery).alias("rec"), F.lit(t.problem_for).cast("long").alias("pf"), F.lit(t.recovery_for).cast("long").alias("rf"))
-        for t in triggers
-    ]
-    rows = df.select(*keys, F.col(ts).cast("long").alias("_ts"), F.col(seq).alias("_seq"), F.col(value).cast("double").alias("_v"), wm.cast("long").alias("_wm"), (F.explode(F.array(*specs)) if len(specs) > 1 else specs[0]).alias("_s"))
-    end = df.agg(F.max(ts).cast("long").alias("_end")) if end is None else end
-    rows = rows.select(*keys, "_ts", "_seq", "_v", "_wm", "_s.*").join(F.broadcast(end))
-    part = [*keys, "trigger"]
     order = Window.partitionBy(*part).orderBy("_seq")
     before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_top", F.max("_ts").over(before)).where("_top IS NULL OR _ts >= _top")
-    mark = F.when(F.col("check"), 1).when(F.col("rec"), 2)
-    rows = rows.select("*", F.coalesce(F.lag("check").over(order), F.lit(False)).alias("_was"), F.last(mark, ignorenulls=True).over(before).alias("_mark"))
-    starts, recovers = F.col("check") & ~F.col("_was"), F.col("rec") & ~F.col("check") & F.col("_mark").isNotNull()
+    last = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
+    rows = rows.select("*", F.max("_ts").over(before).alias("_top"), F.lead("_seq").over(order).isNull().alias("_last"))
+    rows = rows.withColumn("_on", F.col("_top").isNull() | (F.col("_ts") >= F.col("_top")))
+    check, rec = F.col("_on") & F.col("check"), F.col("_on") & F.col("rec") & ~F.col("check")
+    mark = F.when(check, 1).when(rec, 2)
+    rows = rows.select("*", F.coalesce(last(F.when(F.col("_on"), F.col("check")), before), F.lit(False)).alias("_was"), last(mark, before).alias("_mark"))
+    starts, recovers = check & ~F.col("_was"), rec & F.col("_mark").isNotNull()
     # what a new run of checks takes back becomes null with its first row
     first = F.when(starts, F.struct(F.lit(None).cast("long").alias("x"))).when(recovers & (F.col("_mark") == 1), F.struct(F.col("_ts").alias("x")))
     newest = F.when(starts, F.struct(F.lit(None).cast("double").alias("x"))).when(recovers, F.struct(F.col("_v").alias("x")))
-    last = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
     rows = rows.select(
-        "*", last(F.when(starts, F.col("_ts")), so_far).alias("_since"), last(F.when(F.col("check"), F.struct("_v")), before).alias("_held"),
+        "*", last(F.when(starts, F.col("_ts")), so_far).alias("_since"), last(F.when(check, F.struct("_v")), before).alias("_held"),
         last(first, so_far)["x"].alias("_rs"), last(newest, so_far)["x"].alias("_rv"), last(first, before)["x"].alias("_prs"), last(newest, before)["x"].alias("_prv"),
-        F.lead("_seq").over(order).isNull().alias("_last"),
     )
 
     none = F.lit(None).cast("struct<pos:int,status:string,ts:bigint,value:double>")
     event = lambda pos, status, at, v: F.struct(F.lit(pos).alias("pos"), F.lit(status).alias("status"), at.alias("ts"), v.alias("value"))
     due, rdue, prdue = F.col("_since") + F.col("pf"), F.col("_rs") + F.col("rf"), F.col("_prs") + F.col("rf")
+    checked, value = F.when(F.col("_on"), F.col("check")).otherwise(F.col("_was")), F.when(check, F.col("_v")).otherwise(F.col("_held._v"))
     found = [
-        F.when(F.col("_was") & (F.col("_wm") >= due) & (F.col("pf") > 0), event(0, "problem", due, F.col("_held._v"))).when((F.col("_wm") >= prdue) & (F.col("rf") > 0), event(0, "ok", prdue, F.col("_prv"))).otherwise(none),
-        F.when(F.col("check") & (F.col("_ts") >= due), event(1, "problem", F.col("_ts"), F.col("_v"))).when(recovers & (F.col("_ts") >= rdue), event(1, "ok", F.col("_ts"), F.col("_v"))).otherwise(none),
-        F.when(F.col("_last") & F.col("check") & (F.col("_end") >= due), event(2, "problem", due, F.col("_v"))).when(F.col("_last") & ~F.col("check") & (F.col("_end") >= rdue), event(2, "ok", rdue, F.col("_rv"))).otherwise(none),
+        F.when(F.col("_on") & F.col("_was") & (F.col("_wm") >= due) & (F.col("pf") > 0), event(0, "problem", due, F.col("_held._v"))).when(F.col("_on") & (F.col("_wm") >= prdue) & (F.col("rf") > 0), event(0, "ok", prdue, F.col("_prv"))),
+        F.when(check & (F.col("_ts") >= due), event(1, "problem", F.col("_ts"), F.col("_v"))).when(recovers & (F.col("_ts") >= rdue), event(1, "ok", F.col("_ts"), F.col("_v"))),
+        F.when(F.col("_last") & checked & (F.col("_end") >= due), event(2, "problem", due, value)).when(F.col("_last") & ~checked & (F.col("_end") >= rdue), event(2, "ok", rdue, F.col("_rv"))),
     ]
-    rows = rows.select(*part, "severity", "_seq", *[x.alias(f"_x{i}") for i, x in enumerate(found)]).where("coalesce(_x0, _x1, _x2) IS NOT NULL")
-    steps = rows.select(*part, "severity", "_seq", F.explode(F.array_compact(F.array("_x0", "_x1", "_x2"))).alias("x")).select(*part, "severity", "_seq", "x.*")
+    rows = rows.withColumns({f"_x{i}": x.otherwise(none) for i, x in enumerate(found)})
+    shows = F.coalesce("_x0", "_x1", "_x2").isNotNull()
+    scratch = ["_top", "_last", "_on", "_was", "_mark", "_since", "_held", "_rs", "_rv", "_prs", "_prv", "_x0", "_x1", "_x2"]
+    return rows.withColumn("_found", F.when(shows, F.array_compact(F.array("_x0", "_x1", "_x2")))).drop(*scratch)
+
+
+def changes(df: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str, triggers: Sequence[Trigger], end: DataFrame | None = None) -> DataFrame:
+    """All ``triggers`` (of exclusive conditions) in one scan and one shuffle; ``at`` is when a row comes out.
+    ``end`` (column ``_end``) is the latest time, read from ``df`` unless given.
+
+    An alert is due ``problem_for`` after the first row of a run of checks, its recovery ``recovery_for`` after the first
+    recovery behind the run; a row shows that the time is over by its own time or by the watermark it meets.  Of
+    all that are over, those that change the status count.
+    """
+    wm = F.col("wm_before") if "wm_before" in df.columns else F.lit(None)
+    specs = [spec(t, value) for t in triggers]
+    rows = df.select(*keys, F.col(ts).cast("long").alias("_ts"), F.col(seq).alias("_seq"), F.col(value).cast("double").alias("_v"), wm.cast("long").alias("_wm"), (F.explode(F.array(*specs)) if len(specs) > 1 else specs[0]).alias("_s"))
+    end = df.agg(F.max(ts).cast("long").alias("_end")) if end is None else end
+    rows = rows.select(*keys, "_ts", "_seq", "_v", "_wm", "_s.*").join(F.broadcast(end))
+    part = [*keys, "trigger"] if len(specs) > 1 else list(keys)
+    steps = candidates(rows, part).where("_found IS NOT NULL").select(*keys, "trigger", "severity", "_seq", F.explode("_found").alias("x")).select(*keys, "trigger", "severity", "_seq", "x.*")
+    part = [*keys, "trigger"]
     order = Window.partitionBy(*part).orderBy("_seq", "pos")
     kept = steps.withColumn("_before", F.coalesce(F.lag("status").over(order), F.lit("ok"))).where("status <> _before")
     kept = kept.withColumn("_at", F.lag("ts").over(order)).withColumn("_av", F.lag("value").over(order))

@@ -106,23 +106,31 @@ def connectivity_alerts(
     """
     log = packets.select(*keys, F.col(ts).alias("ts"), F.col(seq).alias("seq"), readings.alias("readings"), moving.alias("moving"), voltage.cast("double").alias("voltage"), sos.alias("sos"))
     end = log.agg(F.max("ts").cast("long").alias("_end"))  # without the watermarks' pass
-    urgent_log, log = log, watermark.with_wm_before(log, "ts", "seq", latency)
-    quiet = state.silences(log, keys, "ts", "seq", {"no_packets": (no_packets, None), "no_readings": (no_readings, F.col("readings")), "no_motion": (no_motion, F.col("moving"))}, end)
     battery = trigger.Trigger("low_voltage", trigger.less_than_with_hysteresis(low, fine), "warning", problem_for=hold)
-    power = trigger.changes(log, keys, "ts", "seq", "voltage", [battery], end)
-    # each detector is read once: contact gates the rows beside it by a window over the key
-    silent, contact = F.col("kind") == "silent", F.col("detector") == "no_packets"
+    # every detector reads the same sorted rows of a key: one shuffle by arrival for watermarks, one by key
+    rows = watermark.with_wm_before(log, "ts", "seq", latency).withColumn("_s", trigger.spec(battery, "voltage")).join(F.broadcast(end))
+    rows = rows.select(*keys, F.col("ts").cast("long").alias("_ts"), F.col("seq").alias("_seq"), F.col("voltage").alias("_v"), F.col("wm_before").cast("long").alias("wm_before"), F.col("wm_before").cast("long").alias("_wm"), "_end", "readings", "moving", "_s.*")
+    rows = state.silence_marks(rows, keys, "_ts", "_seq", {"no_packets": (no_packets, None), "no_readings": (no_readings, F.col("readings")), "no_motion": (no_motion, F.col("moving"))})
+    rows = trigger.candidates(rows, keys).where("_silences IS NOT NULL OR _found IS NOT NULL")
+    mark = lambda name, kind, at, pos: F.struct(name.alias("detector"), kind.alias("says"), at.alias("ts"), pos.alias("pos"))
+    none = F.array().cast("array<struct<detector:string,says:string,ts:bigint,pos:int>>")
+    quiet = F.transform("_silences", lambda x: mark(x["detector"], x["kind"], x["ts"], F.lit(-1)))
+    power = F.transform("_found", lambda x: mark(F.lit("low_voltage"), x["status"], x["ts"], x["pos"]))
+    rows = rows.select(*keys, "_seq", F.explode(F.concat(F.coalesce(quiet, none), F.coalesce(power, none))).alias("x")).select(*keys, "_seq", "x.*")
+    own = Window.partitionBy(*keys, "detector").orderBy("_seq", "pos")
+    rows = rows.select("*", F.coalesce(F.lag("says").over(own), F.lit("ok")).alias("was"))
+    volts, silent, contact = F.col("detector") == "low_voltage", F.col("says") == "silent", F.col("detector") == "no_packets"
+    rows = rows.where((volts & (F.col("says") != F.col("was"))) | silent | contact).withColumn("was_ts", F.lag("ts").over(own))
+    # contact gates the rows beside it by a window over the key
     gate = F.when(contact, F.when(silent, "on").otherwise("off"))
-    rows = quiet.where(silent | contact).select(
-        *keys, F.col("detector").alias("alert"), F.lit("D").alias("kind"), "ts", F.col("ts").alias("at"), gate.alias("gate"), silent.alias("says"), (F.col("detector") == "no_motion").alias("held"), F.when(silent, 0).otherwise(1).alias("order")
-    )
-    volts = power.select(
-        *keys, F.when(F.col("status") == "ok", "voltage_ok").otherwise("low_voltage").alias("alert"), "kind", "ts", "at", F.lit(None).cast("string").alias("gate"), F.lit(True).alias("says"), F.lit(True).alias("held"), F.lit(2).alias("order")
-    )
-    so_far = Window.partitionBy(*keys).orderBy("at", F.col("gate").isNull(), "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = rows.unionByName(volts).withColumn("on", F.last("gate", ignorenulls=True).over(so_far))
-    known = known.where("says AND NOT (held AND coalesce(on = 'on', false))").select(*keys, "alert", "kind", "ts")
-    urgent = urgent_log.where("sos").dropDuplicates([*keys, "ts"]).select(*keys, F.lit("sos").alias("alert"), F.lit("D").alias("kind"), "ts")
+    out = lambda alert, kind, at: F.struct(alert.alias("alert"), F.lit(kind).alias("kind"), at.alias("ts"))
+    pieces = F.when(~volts, F.array(out(F.col("detector"), "D", F.col("ts")))).when(F.col("says") == "ok", F.array(out(F.lit("low_voltage"), "R", F.col("was_ts")), out(F.lit("voltage_ok"), "D", F.col("ts")))).otherwise(F.array(out(F.col("detector"), "D", F.col("ts"))))
+    shown, held, turn = volts | silent, volts | (F.col("detector") == "no_motion"), F.when(volts, 2).when(silent, 0).otherwise(1)
+    so_far = Window.partitionBy(*keys).orderBy("ts", F.col("gate").isNull(), "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*keys, "ts", gate.alias("gate"), turn.alias("turn"), pieces.alias("pieces"), shown.alias("shown"), held.alias("held"))
+    known = rows.withColumn("on", F.last("gate", ignorenulls=True).over(so_far)).where("shown AND NOT (held AND coalesce(on = 'on', false))")
+    known = known.select(*keys, F.explode("pieces").alias("x")).select(*keys, "x.*")
+    urgent = log.where("sos").dropDuplicates([*keys, "ts"]).select(*keys, F.lit("sos").alias("alert"), F.lit("D").alias("kind"), "ts")
     return known.unionByName(urgent)
 
 
