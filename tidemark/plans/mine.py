@@ -48,11 +48,11 @@ def packets(spark: SparkSession, horizons: int = 16, lamps: int = 256, beacons_p
     return rows.withColumn("seq", (F.col("ts") + late) * 10_000 + F.col("lamp")).drop("r")
 
 
-def _median(values):
-    """Median of a sorted, non-empty array."""
-    n = F.size(values)
-    at = lambda i: F.element_at(values, F.floor(i).cast("int") + 1)
-    return (at((n - 1) / 2) + at(n / 2)) / 2
+def _median(values, start, end):
+    """Median of the sorted run of ``values`` from ``start`` (from 1) up to ``end``, exclusive."""
+    last = end - start - 1
+    at = lambda i: F.get(values, start - 1 + F.floor(i).cast("int"))
+    return (at(last / 2) + at((last + 1) / 2)) / 2
 
 
 def median_rssi(spark: SparkSession, rows: DataFrame, size_ms: int = 60_000, step_ms: int = 5_000) -> DataFrame:
@@ -71,10 +71,11 @@ def median_rssi(spark: SparkSession, rows: DataFrame, size_ms: int = 60_000, ste
     by_lamp = Window.partitionBy("lamp").orderBy("c")
     held = F.flatten(F.collect_list("r").over(by_lamp.rangeBetween(-(panes - 1), 0)))
     states = moves.select("lamp", "c", held.alias("held"), F.lead("c").over(by_lamp).alias("next")).where("next > c AND size(held) > 0")
-    ordered = F.array_sort("held")
-    names = F.array_distinct(F.transform("held", lambda x: x["beacon"]))
-    medians = F.transform(names, lambda b: F.struct(_median(F.transform(F.filter("held", lambda x: x["beacon"] == b), lambda x: x["rssi"])).alias("rssi"), b.alias("beacon")))
-    top = states.withColumn("held", ordered).select("lamp", "c", "next", F.slice(F.sort_array(medians, asc=False), 1, 2).alias("top"))
+    # sorted by beacon and signal, each beacon's signals are one run, and its median lies in the run's middle
+    runs = states.select("lamp", "c", "next", F.array_sort("held").alias("held")).withColumn("of", F.col("held.beacon")).withColumn("names", F.array_distinct("of"))
+    runs = runs.withColumn("starts", F.transform("names", lambda b: F.array_position("of", b).cast("int")))
+    medians = F.transform("names", lambda b, i: F.struct(_median(F.col("held.rssi"), F.get("starts", i), F.coalesce(F.get("starts", i + 1), F.size("held") + 1)).alias("rssi"), b.alias("beacon")))
+    top = runs.select("lamp", "c", "next", F.slice(F.sort_array(medians, asc=False), 1, 2).alias("top"))
     place = F.broadcast(beacons(spark).select("beacon", "x", "y").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("beacon", F.struct("x", "y")))).alias("grid")))
     one, two = F.get("top", F.lit(0)), F.get("top", F.lit(1))
     d1, d2 = distance_from_rssi(one["rssi"]), distance_from_rssi(two["rssi"])
