@@ -49,9 +49,9 @@ def packets(spark: SparkSession, horizons: int = 16, lamps: int = 256, beacons_p
 
 
 def _median(values, start, end):
-    """Median of the sorted run of ``values`` from ``start`` (from 1) up to ``end``, exclusive."""
+    """Median signal of the sorted run of ``values`` from ``start`` (from 1) up to ``end``, exclusive."""
     last = end - start - 1
-    at = lambda i: F.get(values, start - 1 + F.floor(i).cast("int"))
+    at = lambda i: F.get(values, start - 1 + F.floor(i).cast("int"))["rssi"]
     return (at(last / 2) + at((last + 1) / 2)) / 2
 
 
@@ -74,7 +74,7 @@ def median_rssi(spark: SparkSession, rows: DataFrame, size_ms: int = 60_000, ste
     # sorted by beacon and signal, each beacon's signals are one run, and its median lies in the run's middle
     runs = states.select("lamp", "c", "next", F.array_sort("held").alias("held")).withColumn("of", F.col("held.beacon")).withColumn("names", F.array_distinct("of"))
     runs = runs.withColumn("starts", F.transform("names", lambda b: F.array_position("of", b).cast("int")))
-    medians = F.transform("names", lambda b, i: F.struct(_median(F.col("held.rssi"), F.get("starts", i), F.coalesce(F.get("starts", i + 1), F.size("held") + 1)).alias("rssi"), b.alias("beacon")))
+    medians = F.transform("names", lambda b, i: F.struct(_median(F.col("held"), F.get("starts", i), F.coalesce(F.get("starts", i + 1), F.size("held") + 1)).alias("rssi"), b.alias("beacon")))
     top = runs.select("lamp", "c", "next", F.slice(F.sort_array(medians, asc=False), 1, 2).alias("top"))
     place = F.broadcast(beacons(spark).select("beacon", "x", "y").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("beacon", F.struct("x", "y")))).alias("grid")))
     one, two = F.get("top", F.lit(0)), F.get("top", F.lit(1))
