@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 import re
 
 import numpy as np
@@ -113,6 +114,55 @@ def test_sliding_argmin(values, width):
     assert got == [min(range(i, i + width), key=lambda j: (values[j], j)) for i in range(len(values) - width + 1)]
 
 
+def _seeds(texts):
+    return sorted(tuple(int(x) for x in row) for s in substrings.seeds_of(texts, 50, 12) for row in zip(*s.values(), strict=True))
+
+
+@pytest.mark.parametrize("block", [1, 130, 1000])
+def test_seeds_and_windows_of_blocks_are_those_of_whole_texts(block, monkeypatch):
+    r = random.Random(block)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)).encode() for n in (0, 49, 50, 1500, 3, 400, 51, 89)] + [b"w " * 700]
+    whole = _seeds(texts)
+    text, _, _, lo, hi = (np.array(x) for x in zip(*whole, strict=True))
+    windows = lambda: sorted(tuple(int(x) for x in row) for w in substrings.windows_of(texts, text, lo, hi, 50) for row in zip(*w, strict=True))
+    want = windows()
+    assert len(want) == sum(max(0, len(t.split()) - 49) for t in texts)
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    assert _seeds(texts) == whole and windows() == want
+
+
+@given(st.lists(st.sampled_from(["a", "bb", "é", " ", "\n", "\x0b", "\x1c", "\xa0"]), max_size=40), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=4), st.sampled_from([1, 5, 1 << 20]))
+@settings(max_examples=200, deadline=None)
+def test_cut_by_pieces(text, spans, size):
+    text, out = "".join(text).encode(), bytearray()
+    words = text.split()
+    spans = sorted((lo, min(len(words), lo + n)) for lo, n in spans if lo < len(words))
+    gone = {i for lo, hi in spans for i in range(lo, hi)}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(substrings, "SLICE", size)
+        got = substrings.cut(text, substrings.merged(*np.array(spans, np.int64).reshape(-1, 2).T), out.extend)
+    assert got == (len(words), len(gone)) and bytes(out) == b" ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def test_long_texts_are_deduplicated_in_bounded_memory():
+    r = random.Random(4)
+    text = " ".join(r.choices([f"w{i}" for i in range(5000)], k=2_800_000)).encode()
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            run()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    seeds = list(substrings.seeds_of([text], 50, 12))
+    text_, lo, hi = (np.concatenate([s[k] for s in seeds]) for k in ("text", "lo", "hi"))
+    assert peak(lambda: [len(s["lo"]) for s in substrings.seeds_of([text], 50, 12)]) < 5 * len(text)
+    assert peak(lambda: [len(w[0]) for w in substrings.windows_of([text], text_, lo, hi, 50)]) < 5 * len(text)
+    assert peak(lambda: substrings.cut(text, [(5, 70)], len)) < 5 * len(text)
+
+
 @given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 4)), min_size=1, max_size=7, unique_by=lambda x: x[0]), st.floats(0, 1))
 @settings(max_examples=80, deadline=None)
 def test_fit_lengths_is_as_near_as_possible(groups, share):

@@ -192,6 +192,18 @@ def test_op3(spark, sf):
     assert sum(r["n_removed"] for r in rows) > 3000
 
 
+def test_op3_of_texts_longer_than_a_block(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(170_000)]
+    other = [f"x{i}" for i in range(70_000)]
+    rows = [(1, words), (2, other + words[60_000:140_000] + ["end"]), (3, words[:100_000] + ["new"] + words[100_000:] + other[65_000:65_049]), (4, None)]
+    texts = [(d, None if w is None else " ".join(w)) for d, w in rows]
+    assert len(texts[0][1]) > substrings.SLICE and len(words) > 2 * substrings.BLOCK
+    got = {x["doc"]: (x["n_words"], x["n_removed"], bytes(x["kept"]).decode()) for x in substrings.cut_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    tail = other[65_000:65_049]
+    assert got == {1: (170_000, 0, texts[0][1]), 2: (150_001, 80_000, " ".join([*other, "end"])), 3: (170_050, 170_000, " ".join(["new", *tail])), 4: (0, 0, "")}
+
+
 def test_op4(spark, sf):
     text = {r[0]: (r[1] or "").encode() for r in ROWS}
     rows = _rows(spark, sf, "op4_media_columns")

@@ -16,7 +16,8 @@ once for the documents with differing runs and once for the cut.
 
 Null or short text: nothing is covered.  Null doc_id: neither removed nor compared.  Repeated rows (equal doc_id)
 are not earlier than one another and each is cut alike.  Repeats within one document stay, unless an
-earlier document holds them.  Different texts of one doc_id are rows of their own.  Very long texts are read whole.
+earlier document holds them.  Different texts of one doc_id are rows of their own.  Very long texts are read whole,
+a block at a time, in a few times the text's size of memory.
 Empty tables give no rows.  Extra columns are ignored by ``repeats``.
 
 Words are equal if two independent 64-bit hashes of them are: that of the anchor and that of the run or window.
@@ -26,7 +27,8 @@ Among 10**13 windows a false match has a chance of about 10**-12.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ from pyspark.sql import functions as F
 from .common import batch_of, discard, gram_hashes, mix, powers, slices, table, word_hashes, written
 
 LENGTH, GRAM = 50, 12
+#: Windows, or words, handled at once, and bytes of text: what a kernel's arrays cover.
+BLOCK, SLICE = 1 << 16, 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _SPAN = 0xD1342543DE82EF95
 _SPAN_INVERSE = pow(_SPAN, -1, 1 << 64)
 
@@ -64,23 +69,86 @@ def span_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((sums[b] - sums[a]) * powers(len(sums), _SPAN_INVERSE)[a] + (b - a).astype(np.uint64))
 
 
-def seeds_of(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
-    """text (index), anchor, context, lo and hi (first and last window start) of each run of windows."""
+def seeds_of(texts: list[bytes], length: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
+    """text (index), anchor, context, lo and hi (first and last window start) of each run of windows, a block of windows at a time."""
     words, offsets = word_hashes(texts)
-    best = sliding_argmin(gram_hashes(words, gram), length - gram + 1)
-    many = np.maximum(np.diff(offsets) - length + 1, 0)
-    of = np.repeat(np.arange(len(texts)), many)
-    start = offsets[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    chosen = best[start]
-    new = np.ones(len(of), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (of[1:] != of[:-1])
-    first = np.flatnonzero(new)
-    lo, hi = start[first], start[np.append(first[1:], len(of))[: len(first)] - 1] if len(first) else start[:0]
-    anchor, text = chosen[first], of[first]
-    context = span_hash(span_sums(words), lo, hi + length)
-    context = mix(context + (anchor - lo).astype(np.uint64) * np.uint64(_SPAN))
-    grams = gram_hashes(words, gram)
-    return {"text": text, "anchor": grams[anchor].view(np.int64), "context": context.view(np.int64), "lo": lo - offsets[text], "hi": hi - offsets[text]}
+    at, end = 0, len(words) - length + 1
+    while at < end:
+        to = min(end, at + max(BLOCK, 2 * length))
+        here = words[at : to + length - 1]
+        grams = gram_hashes(here, gram)
+        start = np.arange(at, to)
+        of = np.searchsorted(offsets, start, side="right") - 1
+        inside = start + length <= offsets[of + 1]
+        of, start = of[inside], start[inside] - at
+        chosen = sliding_argmin(grams, length - gram + 1)[start]
+        new = np.ones(len(of), bool)
+        new[1:] = (chosen[1:] != chosen[:-1]) | (of[1:] != of[:-1])
+        first = np.flatnonzero(new)
+        base, at = at, to
+        if to < end and len(of) and start[-1] == to - base - 1:  # the last run may go on: the next block begins with it
+            at, first, until = base + start[first[-1]], first[:-1], first[-1]
+        else:
+            until = len(of)
+        if not len(first):
+            continue
+        lo, hi = start[first], start[np.append(first[1:], until) - 1]
+        anchor, text = chosen[first], of[first]
+        context = span_hash(span_sums(here), lo, hi + length)
+        context = mix(context + (anchor - lo).astype(np.uint64) * np.uint64(_SPAN))
+        away = base - offsets[text]
+        yield {"text": text, "anchor": grams[anchor].view(np.int64), "context": context.view(np.int64), "lo": lo + away, "hi": hi + away}
+
+
+def windows_of(texts: list[bytes], of: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """run (index), start in its text and hash of each window of runs lo..hi of texts ``of``, a block of words at a time."""
+    words, offsets = word_hashes(texts)
+    begin = offsets[of] + lo
+    order = np.argsort(begin, kind="stable")
+    for runs in np.split(order, np.flatnonzero(np.diff(begin[order] // BLOCK)) + 1) if len(order) else []:
+        base, many = begin[runs[0]], (hi - lo + 1)[runs]
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        start = np.repeat(begin[runs] - base, many) + step
+        sums = span_sums(words[base : base + int(start.max()) + length])
+        yield np.repeat(runs, many), np.repeat(lo[runs], many) + step, span_hash(sums, start, start + length)
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """``text`` cut into pieces of about SLICE bytes where words end."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + SLICE)
+        to = gap.start() if gap else len(text)
+        yield text[at:to]
+        at = to
+
+
+def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Spans, sorted by ``lo``, with those that touch or overlap joined."""
+    if not len(lo):
+        return []
+    top = np.maximum.accumulate(hi)
+    new = np.flatnonzero(np.append(True, lo[1:] > top[:-1]))
+    return list(zip(lo[new].tolist(), top[np.append(new[1:], len(lo)) - 1].tolist(), strict=True))
+
+
+def cut(text: bytes, spans: list[tuple[int, int]], put: Callable[[bytes], object]) -> tuple[int, int]:
+    """Numbers of words and of removed ones; ``put`` gets the words outside ``spans``, joined by spaces, part by part."""
+    n = kept = i = 0
+    for piece in pieces(text):
+        words = piece.split()
+        left, at, end = [], n, n + len(words)
+        while i < len(spans) and spans[i][0] < end:
+            left += words[at - n : max(spans[i][0], at) - n]
+            at = min(end, spans[i][1])
+            if spans[i][1] > end:
+                break
+            i += 1
+        left += words[at - n :]
+        if left:
+            put(b" " + b" ".join(left) if kept else b" ".join(left))
+        n, kept = end, kept + len(left)
+    return n, n - kept
 
 
 def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -96,23 +164,19 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", lengt
     rows = _rows(documents, key, text).where("doc IS NOT NULL AND text IS NOT NULL")
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            s = seeds_of([t.encode() for t in batch.column(2).to_pylist()], length, gram)
-            at = pa.array(s.pop("text"))
-            yield batch_of(SEEDS, doc=batch.column(0).take(at), row=batch.column(1).take(at), **s)
+        for batch in slices(batches, limit=SLICE):
+            for s in seeds_of(batch.column(2).cast(pa.binary()).to_pylist(), length, gram):
+                at = pa.array(s.pop("text"))
+                yield batch_of(SEEDS, doc=batch.column(0).take(at), row=batch.column(1).take(at), **s)
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words, offsets = word_hashes([t.encode() for t in batch.column(2).to_pylist()])
+        for batch in slices(batches, limit=SLICE):
             runs = batch.column(3)
             of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(runs).to_numpy(zero_copy_only=False))
             lo, hi, anchor = (runs.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2))
-            many = hi - lo + 1
-            start = np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            of = np.repeat(of, many)
-            window = span_hash(span_sums(words), offsets[of] + start, offsets[of] + start + length).view(np.int64)
-            at = pa.array(of)
-            yield batch_of(WINDOWS, anchor=np.repeat(anchor, many), window=window, doc=batch.column(0).take(at), row=batch.column(1).take(at), lo=start)
+            for run, start, window in windows_of(batch.column(2).cast(pa.binary()).to_pylist(), of, lo, hi, length):
+                at = pa.array(of[run])
+                yield batch_of(WINDOWS, anchor=anchor[run], window=window.view(np.int64), doc=batch.column(0).take(at), row=batch.column(1).take(at), lo=start)
 
     seeds = written(rows.mapInArrow(seeded, "doc long, row long, anchor long, context long, lo int, hi int"))
     # aggregates are written before they are joined back: next to a plain exchange a hot key can be split
@@ -137,21 +201,17 @@ def cut_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", l
     """doc, n_words, n_removed, kept: the words left of each row, joined by spaces (their SHA-256 if ``digest``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            counts, removed, kept = [], [], []
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = (t or "").encode().split()
-                counts.append(len(words))
-                if spans:
-                    left, at = [], 0
-                    for s in spans:
-                        if s["lo"] > at:
-                            left += words[at : s["lo"]]
-                        at = max(at, s["hi"])
-                    words = left + words[at:]
-                removed.append(counts[-1] - len(words))
-                body = b" ".join(words)
-                kept.append(hashlib.sha256(body).digest() if digest else body)
+        for batch in slices(batches, limit=SLICE):
+            many = pa.compute.fill_null(pa.compute.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            lo, hi = (batch.column(2).flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            counts, removed, kept, at = [], [], [], 0
+            for t, k in zip(batch.column(1).cast(pa.binary()).to_pylist(), many.tolist(), strict=True):
+                whole = hashlib.sha256() if digest else bytearray()
+                n, gone = cut(t or b"", merged(lo[at : at + k], hi[at : at + k]), whole.update if digest else whole.extend)
+                at += k
+                counts.append(n)
+                removed.append(gone)
+                kept.append(whole.digest() if digest else bytes(whole))
             yield batch_of(CUT, doc=batch.column(0), n_words=counts, n_removed=removed, kept=kept)
 
     found = repeats(documents, key, text, length)
