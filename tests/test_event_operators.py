@@ -301,6 +301,26 @@ def test_fold_process_and_ttl(spark):
     assert rows(state.ttl_state(df, ["k"], "ts", "seq", 10, 55), "k") == [("B",)]
 
 
+@pytest.mark.parametrize("takes", [False, True])
+def test_smallest_of_a_changelog(spark, takes):
+    """The same as the least value of the multiset, with and without withdrawals and corrections."""
+    rng = random.Random(2)
+    made = []
+    for i in range(60):
+        kind = rng.choice("DDRU") if takes and i % 2 else "D"  # the windows of odd rows: something is taken out
+        made.append((i, (i % 2) * 100 + rng.randrange(100), kind, rng.choice([None, *range(9)]), rng.randrange(9) if kind == "U" else None, i - 5))
+    df = spark.createDataFrame(made, "seq long, ts long, kind string, x long, o long, wm_before long")
+    df = df.select("seq", "ts", "kind", F.struct("x").alias("value"), F.when(F.col("o").isNotNull(), F.struct(F.col("o").alias("x"))).alias("old"), "wm_before")
+    x = lambda v: v["x"]
+    held = windows.Retractable((x,), F.array_min, multiset=True)
+    out = windows.window_log_changes(df, {"k": lambda v: F.lit(1)}, windows.tumbling(100), 0, 1000, least=windows.smallest(x))
+    want = windows.window_log_changes(df, {"k": lambda v: F.lit(1)}, windows.tumbling(100), 0, 1000, least=held)
+    cols = ["win_end", "seq", "kind", "value.least"]
+    assert sorted(map(repr, out.select(*cols).collect())) == sorted(map(repr, want.select(*cols).collect()))
+    final = [sorted(map(repr, windows.window_log(df, {"k": lambda v: F.lit(1)}, windows.tumbling(100), least=a).collect())) for a in (windows.smallest(x), held)]
+    assert final[0] == final[1] and len(final[0]) == 2
+
+
 # Triggers
 
 

@@ -1,5 +1,7 @@
 """Every registered event-time query against its SQL."""
 
+import time
+
 import duckdb
 import pytest
 
@@ -43,3 +45,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def events_of(spark, path, made):
+    """A connection to DuckDB and the folder of an events table made by SQL from ``id``."""
+    c = duckdb.connect()
+    c.execute(f"COPY ({made}) TO '{path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet'")
+    return c, str(path)
+
+
+def test_depot_metrics_of_a_large_late_window(spark, tmp_path):
+    """2,500 late rows correct one window; each is a step and not a new pass over all rows before."""
+    at = "CASE WHEN id = 2 THEN 30000000 ELSE 1000 + id END"
+    c, d = events_of(spark, tmp_path, f"SELECT id AS event_id, make_timestamp({at} * 1000) AS ts, 3::BIGINT AS user_id, 'view' AS event_type, (9000 - (id * 7919) % 9001)::DOUBLE AS value, '' AS props FROM range(2500) r(id)")
+    began = time.time()
+    got = registry.queries()["depot_metrics"](spark, d).toPandas()
+    assert time.time() - began < 40
+    want = c.execute(registry.oracle_sql()["depot_metrics"]).df()
+    rows = lambda df: sorted(tuple(map(_plain, r)) for r in df[sorted(want.columns)].itertuples(index=False, name=None))
+    assert len(want) > 2300 and rows(got) == rows(want)

@@ -6,7 +6,7 @@ A changelog is a DataFrame of ``seq`` (arrival), ``ts`` (ms), ``kind`` and two s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +15,12 @@ DATA, RETRACT, UPDATE = "D", "R", "U"
 Fn = Callable[[Column], Column]
 
 
-def from_rows(df: DataFrame, ts: str, seq: str) -> DataFrame:
-    """Plain rows as D events; the whole row is the value."""
-    value = F.struct(*[F.col(c) for c in df.columns])
-    kind = df.schema.simpleString()
-    return df.select(F.col(seq).cast("long").alias("seq"), F.col(ts).alias("ts"), F.lit(DATA).alias("kind"), value.alias("value"), F.lit(None).cast(kind).alias("old"))
+def from_rows(df: DataFrame, ts: str, seq: str, beside: Sequence[str] = ()) -> DataFrame:
+    """Plain rows as D events; the whole row but the columns ``beside``, which stay columns, is the value."""
+    row = df.drop(*beside)
+    value = F.struct(*[F.col(c) for c in row.columns])
+    kind = row.schema.simpleString()
+    return df.select(F.col(seq).cast("long").alias("seq"), F.col(ts).alias("ts"), F.lit(DATA).alias("kind"), value.alias("value"), F.lit(None).cast(kind).alias("old"), *beside)
 
 
 def data(value: Column, ts: Column, seq: Column) -> list[Column]:

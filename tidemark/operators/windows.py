@@ -117,30 +117,41 @@ def _emitted(rows: DataFrame, cols: Sequence[str], part: Sequence[str], seq: str
 @dataclass(frozen=True)
 class Retractable:
     """An aggregate that takes values out again: sums of ``parts`` of each value, put together by ``finish``; or with
-    ``multiset`` an aggregate of the values in the window, in order of arrival."""
+    ``multiset`` an aggregate of the values in the window, in order of arrival.  ``adds`` is a plain aggregate of the
+    values that says the same where nothing is taken out; a multiset is then held only by windows where something is."""
 
     parts: tuple[Callable[[Column], Column], ...]
     finish: Callable[..., Column]
     multiset: bool = False
+    adds: Callable[[Column], Column] | None = None
 
-    def signed(self, kind: Column, value: Column, old: Column) -> list[Column]:
-        """What a D, R or U row adds to each sum, or the steps (adds, value) it takes on the multiset."""
+    def signed(self, kind: Column, value: Column, old: Column, takes: Column) -> list[Column]:
+        """What a D, R or U row adds to each sum, or the steps (adds, value) it takes on the multiset.  ``takes``:
+        whether something is taken out of the row's window."""
         if self.multiset:
             step = lambda adds, v: F.struct(F.lit(adds).alias("adds"), self.parts[0](v).alias("v"))
-            return [F.when(kind == "R", F.array(step(False, value))).when((kind == "U") & old.isNotNull(), F.array(step(False, old), step(True, value))).otherwise(F.array(step(True, value)))]
+            steps = F.when(kind == "R", F.array(step(False, value))).when(takes_out(kind, old), F.array(step(False, old), step(True, value))).otherwise(F.array(step(True, value)))
+            return [steps] if self.adds is None else [F.when(takes, steps), self.parts[0](value)]
         zero = lambda c: F.coalesce(c, F.lit(0))
-        return [F.when(kind == "R", -zero(f(value))).when((kind == "U") & old.isNotNull(), zero(f(value)) - zero(f(old))).otherwise(zero(f(value))) for f in self.parts]
+        return [F.when(kind == "R", -zero(f(value))).when(takes_out(kind, old), zero(f(value)) - zero(f(old))).otherwise(zero(f(value))) for f in self.parts]
 
     def over(self, columns: Sequence[str], frame: WindowSpec | None) -> Column:
         """The result over a frame that ends at the current row, or of a group (None)."""
-        total = lambda c: F.sum(c).over(frame) if frame is not None else F.sum(c)
+        of = lambda c: c.over(frame) if frame is not None else c
         if not self.multiset:
-            return self.finish(*map(total, columns))
+            return self.finish(*[of(F.sum(c)) for c in columns])
         if frame is not None:
             steps = F.flatten(F.collect_list(columns[0]).over(frame))
         else:
             steps = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(columns[0]).alias("steps")))), lambda x: x["steps"]))
-        return self.finish(remaining(steps))
+        if self.adds is None:
+            return self.finish(remaining(steps))
+        return F.when(of(F.count(columns[0])) > 0, self.finish(remaining(steps))).otherwise(of(self.adds(F.col(columns[1]))))
+
+
+def takes_out(kind: Column, old: Column) -> Column:
+    """Whether a row takes a value out."""
+    return (kind == "R") | ((kind == "U") & old.isNotNull())
 
 
 def remaining(steps: Column) -> Column:
@@ -175,6 +186,10 @@ def listed(f: Callable[[Column], Column]) -> Retractable:
     return Retractable((f,), lambda held: held, multiset=True)
 
 
+def smallest(f: Callable[[Column], Column]) -> Retractable:
+    return Retractable((f,), lambda held: F.array_min(held), multiset=True, adds=F.min)
+
+
 def middle(f: Callable[[Column], Column]) -> Retractable:
     """The exact median of the values left."""
 
@@ -199,22 +214,27 @@ def log_rows(log: DataFrame, keys: dict[str, Callable[[Column], Column]], spec:
     return rows.withColumn("old", F.when(F.col("seq") > F.col("_begun"), F.col("old"))).drop("_begun")
 
 
-def _with_parts(rows: DataFrame, aggs: dict[str, Retractable]) -> tuple[DataFrame, dict[str, list[str]]]:
-    names = {n: [f"_{n}_{i}" for i in range(len(a.parts))] for n, a in aggs.items()}
-    made = [c.alias(x) for n, a in aggs.items() for x, c in zip(names[n], a.signed(F.col("kind"), F.col("value"), F.col("old")), strict=True)]
+def _with_parts(rows: DataFrame, keys: Sequence[str], aggs: dict[str, Retractable]) -> tuple[DataFrame, dict[str, list[str]]]:
+    takes = F.lit(True)
+    if any(a.adds for a in aggs.values()):
+        part = Window.partitionBy(*keys, "win_start", "win_end")
+        rows, takes = rows.withColumn("_takes", F.max(takes_out(F.col("kind"), F.col("old"))).over(part)), F.col("_takes")
+    parts = {n: a.signed(F.col("kind"), F.col("value"), F.col("old"), takes) for n, a in aggs.items()}
+    names = {n: [f"_{n}_{i}" for i in range(len(cs))] for n, cs in parts.items()}
+    made = [c.alias(x) for n, cs in parts.items() for x, c in zip(names[n], cs, strict=True)]
     return rows.select("*", *made), names
 
 
 def window_log(log: DataFrame, keys: dict[str, Callable[[Column], Column]], spec: TimeWindow, **aggs: Retractable) -> DataFrame:
     """Final window results of a changelog (seq, ts, kind, value, old): one shuffle by key and window."""
-    rows, names = _with_parts(log_rows(log, keys, spec), aggs)
+    rows, names = _with_parts(log_rows(log, keys, spec), list(keys), aggs)
     return rows.groupBy(*keys, "win_start", "win_end").agg(*[a.over(names[n], None).alias(n) for n, a in aggs.items()])
 
 
 def window_log_changes(log: DataFrame, keys: dict[str, Callable[[Column], Column]], spec: TimeWindow, latency: int = 0, allowed_lateness: int = 0, **aggs: Retractable) -> DataFrame:
     """Window results of a changelog as a changelog: late values, withdrawals and corrections each correct a
     window that has fired in one step (U).  ``log`` has ``wm_before``; results are structs of ``aggs``."""
-    rows, names = _with_parts(log_rows(log, keys, spec), aggs)
+    rows, names = _with_parts(log_rows(log, keys, spec), list(keys), aggs)
     running = lambda frame: F.struct(*[a.over(names[n], frame).alias(n) for n, a in aggs.items()])
     kept, _ = _late_apart(rows.drop("kind", "value", "old"), latency, allowed_lateness)
     return _emitted(kept, [*keys, "win_start", "win_end"], [*keys, "win_start", "win_end"], "seq", running, latency)

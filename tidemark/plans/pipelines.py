@@ -249,11 +249,10 @@ def depot_metrics(spark, d):
     raw = shuffled_events(spark, d).select("seq", "ts", (F.col("user_id") % 7).alias("depot"), F.when(F.col("event_id") % 19 == 0, "bad").otherwise(F.col("value").cast("string")).alias("charge"), "value")
     good, _ = changelog.safe_split(raw, parsed=F.expr("try_cast(charge AS double)"))
     log = watermark.with_wm_before(good.select("seq", "ts", "depot", "value"), "ts", "seq", minutes(1))
-    log = changelog.from_rows(log.select("seq", "ts", "depot", "value"), "ts", "seq").join(log.select("seq", "wm_before"), "seq")
+    log = changelog.from_rows(log.select("seq", "ts", "depot", "value", "wm_before"), "ts", "seq", beside=["wm_before"])
     x = lambda v: v["value"]
-    least = windows.Retractable((x,), lambda held: F.array_min(held), multiset=True)
     out = windows.window_log_changes(
-        log, {"depot": lambda v: v["depot"]}, windows.tumbling(hours(6)), allowed_lateness=hours(6), speed=windows.averaged(x), charge=least, low=windows.counted_if(lambda v: v["value"] < 5)
+        log, {"depot": lambda v: v["depot"]}, windows.tumbling(hours(6)), allowed_lateness=hours(6), speed=windows.averaged(x), charge=windows.smallest(x), low=windows.counted_if(lambda v: v["value"] < 5)
     )
     return out.select("depot", "win_end", "seq", "kind", F.round("value.speed", 7).alias("speed"), "value.charge", "value.low")
 
